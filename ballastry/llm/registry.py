@@ -5,16 +5,21 @@ from __future__ import annotations
 from ballastry.llm.decontaminate import OP1_SQL, op1_decontaminate
 from ballastry.llm.hilbert_shards import op8_hilbert_shards
 from ballastry.llm.line_dedup import OP7_SQL, op7_line_dedup
+from ballastry.llm.ngram_jaccard import OP4_SQL, op4_ngram_jaccard
+from ballastry.llm.token_files import op9_token_files
 from ballastry.llm.url_reputation import OP2_SQL, op2_url_reputation
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_reputation": op2_url_reputation,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_line_dedup": op7_line_dedup,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_token_files": op9_token_files,
 }
 ORACLES = {
     "op1_decontaminate": OP1_SQL,
     "op2_url_reputation": OP2_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
 }
