@@ -41,7 +41,7 @@ from ballastry.llm.common import shared_dir, table
 
 BLOCK = 1024
 PERCENTILE = 90
-MAX_PIECES = 600_000
+MAX_PIECES = 900_000
 LONG_PIECE = 64
 END_ID = 0
 MAGIC = b"PFOR0001"
