@@ -15,10 +15,11 @@ Steps, all on classes of documents with equal sets:
    whose classes are in one component already, are dropped by aggregates. What remains yields pairs
    from different components with sizes that allow the similarity. No link that matters is lost:
    a pair inside one component cannot change the components.
-3. The other orders' filters and the exact check run on the texts of these candidates only.
+3. Bitmaps of the sets (two bits a token) bound the overlap of each candidate from above; what passes
+   has its texts fetched, on which the other orders' filters and then the exact check run.
 
-Plan: shingles are hashed (64 bits) in numpy inside the scans. Shuffled are (class, size) rows, the
-prefix tokens of one order, and texts of candidates. Candidates' texts are picked by a broadcast of
+Plan: shingles are hashed (64 bits) in numpy inside the scans. Shuffled are (class, size, bitmap) rows,
+the prefix tokens of one order, and texts of candidates that the bitmaps allow. Candidates' texts are picked by a broadcast of
 their ids when a count allows it, else by a shuffled join. Token frequencies are counted in 2**18
 buckets of tokens; they steer the order only, so no count can lose a link.
 
@@ -39,6 +40,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ballastry.llm.common import checkpointed, table
 from ballastry.llm.components import components
@@ -138,6 +140,28 @@ def prefix(s: np.ndarray, key: int, frequent: np.ndarray) -> np.ndarray:
     return s[np.argpartition(rank, n - 1)[:n]] if n < len(s) else s
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of a set's tokens: at least two for each token, a power of two in number."""
+    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s >> np.uint64(5)) & np.uint64(size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, bits: bytes, m: int, other: bytes) -> bool:
+    """False only if the bitmaps of two sets of n and m tokens rule their similarity out.
+
+    Each bit of one set that the other lacks stands for a token at least that is not shared.
+    """
+    a, b = np.frombuffer(bits, "<u8"), np.frombuffer(other, "<u8")
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    both = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * both >= PERCENT * (n + m - both)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
@@ -148,15 +172,23 @@ def with_keys(docs: DataFrame, one: str = "k1", two: str = "k2") -> DataFrame:
     return docs.withColumn(one, F.xxhash64("doc_id", "text")).withColumn(two, F.hash("text", "doc_id"))
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The batches in pieces, which bounds what a task holds."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows]
+
+
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     keys = range(101, 101 + STARS)
-    for batch in batches:
+    for batch in parts(batches):
         sets = shingle_sets(batch["text"].tolist())
         yield pd.DataFrame(
             {
                 "doc_id": batch["doc_id"],
                 "k1": batch["k1"],
                 "k2": batch["k2"],
+                "bits": [bitmap(s) if len(s) else None for s in sets],
                 "cls": [class_of(s) if len(s) else None for s in sets],
                 "n": [len(s) for s in sets],
                 "firsts": [[int(s[np.argmin(mix(s, k))].view(np.int64)) for k in keys] if len(s) else None for s in sets],
@@ -167,7 +199,7 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of the buckets that stand out in this partition."""
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    for batch in batches:
+    for batch in parts(batches):
         sets = shingle_sets(batch["text"].tolist())
         if sets:
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
@@ -189,13 +221,12 @@ def frequent_buckets(docs: DataFrame) -> np.ndarray:
 
 def _prefix_rows(frequent: np.ndarray):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [s for s in shingle_sets(batch["text"].tolist()) if len(s)]
-            tokens = [prefix(s, 1, frequent) for s in sets]
-            for k in range(0, len(sets), 1000):
-                part = tokens[k : k + 1000]
-                names = np.repeat(np.array([class_of(s) for s in sets[k : k + 1000]], dtype=np.int64), [len(t) for t in part])
-                yield pd.DataFrame({"token": np.concatenate(part).view(np.int64) if part else [], "cls": names})
+            if sets:
+                tokens = [prefix(s, 1, frequent) for s in sets]
+                names = np.repeat(np.array([class_of(s) for s in sets], dtype=np.int64), [len(t) for t in tokens])
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "cls": names})
 
     return rows
 
@@ -228,8 +259,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+@F.pandas_udf(T.BooleanType())
+def _possible(n: pd.Series, bits: pd.Series, m: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([may_be_similar(*x) for x in zip(n, bits, m, other, strict=True)], dtype=bool)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar. reps: the row (k1, k2) that stands for each class."""
+    """The pairs (a, b) of classes whose sets are similar.
+
+    reps has the row (k1, k2) that stands for each class, its size and its bitmap. Bitmaps rule most
+    unlike pairs out, so texts move for the rest only.
+    """
+    one = reps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    two = reps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    pairs = pairs.join(one, "a").join(two, "b").where(_possible("na", "bits_a", "nb", "bits_b")).select("a", "b")
+    pairs = checkpointed(pairs)
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
     wanted = checkpointed(wanted.select("cls", "k1", "k2"))
     texts = with_keys(docs).join(_small(wanted), ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"])
@@ -241,24 +285,24 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent: np.ndar
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, its row's keys k1 and k2, n_shingles, component_id and component (a class, null for an empty set)."""
     docs = docs.select("doc_id", "text")
-    classes = checkpointed(with_keys(docs).mapInPandas(_classes, "doc_id long, k1 long, k2 int, cls long, n long, firsts array<long>"))
+    classes = checkpointed(with_keys(docs).mapInPandas(_classes, "doc_id long, k1 long, k2 int, bits binary, cls long, n long, firsts array<long>"))
     named = classes.where("cls is not null")
     reps = named.groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.min("n").alias("n"), F.first("firsts").alias("firsts")
-    ).select("cls", "least", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n", "firsts")
+        F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.min("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")
+    ).select("cls", "least", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n", "firsts", "bits")
     reps = checkpointed(reps)
 
     first = reps.select("cls", "n", F.posexplode("firsts").alias("k", "token"))
     pivot = first.groupBy("k", "token").agg(F.min_by("cls", F.xxhash64("cls", "k")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = first.join(pivot, ["k", "token"]).where("cls <> pivot")
     pairs = stars.select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
-    links = checkpointed(verify(checkpointed(pairs), docs, reps, None))
+    links = checkpointed(verify(pairs, docs, reps, None))
     joined = checkpointed(components(links))
 
     frequent = frequent_buckets(docs)
     tokens = docs.select("text").mapInPandas(_prefix_rows(frequent), "token long, cls long")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    rows = tokens.join(shared, F.col("token") == F.col("t")).select("token", "cls").distinct()
+    rows = tokens.join(_small(checkpointed(shared)), F.col("token") == F.col("t")).select("token", "cls").distinct()
     rows = rows.join(joined, rows["cls"] == joined["node"], "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
     rows = checkpointed(rows)
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
@@ -267,7 +311,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     right = rows.select("token", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
     sizes = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
     pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & sizes).select("a", "b").distinct()
-    more = verify(checkpointed(pairs), docs, reps, frequent)
+    more = verify(pairs, docs, reps, frequent)
     joined = checkpointed(components(links.unionByName(more)))
 
     groups = reps.join(joined, reps["cls"] == joined["node"], "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
