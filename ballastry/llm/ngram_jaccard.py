@@ -1,27 +1,32 @@
 """Exact Jaccard self-join on 5-word shingles with prefix filters under several global orders.
 
 Sets with Jaccard similarity of at least t share a token among the first floor((1 - t) n) + 1 of
-each set, under any one total order of all tokens. Three orders are used here: tokens that are frequent in the
-corpus come last, the rest (and the frequent ones among themselves) stand in keyed random order,
-another key for each order. A pair is a candidate only if it shares a prefix token under every
-order; candidates are verified on whole sets.
+each set, under any one total order of all tokens. Three orders are used here: tokens go by the
+level (log2) of their frequency in the corpus, and within a level in keyed random order, another
+key for each order. A pair is a candidate only if it shares a prefix token under every order;
+candidates are verified on whole sets.
 
 Steps, all on classes of documents with equal sets:
 
 1. Stars. Under four further keyed orders without frequencies, classes with the same first token
-   are compared with one pivot each. That is linear in the documents however large a group of near
+   are compared with one pivot each, the one with the most frequent tokens, which in a group of
+   copies is next to their source. That is linear in the documents however large a group of near
    copies is, and joins most of each group.
 2. Prefix join. Prefix tokens of the first order are grouped; tokens of one class, and then tokens
-   whose classes are in one component already, are dropped by aggregates. What remains yields pairs
-   from different components with sizes that allow the similarity. No link that matters is lost:
-   a pair inside one component cannot change the components.
+   whose classes are in one component already, are dropped by aggregates. Groups are first compared
+   with one pivot each, which joins what is left of large groups of copies; then all pairs of a
+   group from different components whose sizes and places of the token allow the similarity: if it
+   is the first token that they share, what follows it bounds their overlap. No link that matters
+   is lost: a pair inside one component cannot change the components.
 3. Bitmaps of the sets (two bits a token) bound the overlap of each candidate from above; what passes
    has its texts fetched, on which the other orders' filters and then the exact check run.
 
 Plan: shingles are hashed (64 bits) in numpy inside the scans. Shuffled are (class, size, bitmap) rows,
 the prefix tokens of one order, and texts of candidates that the bitmaps allow. Candidates' texts are picked by a broadcast of
-their ids when a count allows it, else by a shuffled join. Token frequencies are counted in 2**18
-buckets of tokens; they steer the order only, so no count can lose a link.
+their ids when a count allows it, else by a shuffled join. Frequencies are counted for the half of all
+tokens that the first order's key puts first, which holds the prefixes; they steer the order only, so
+no count can lose a link. A token in ``HOT`` sets or more is frequent; the table of those is sent to all tasks
+and holds ``HOT_TOKENS`` at most, for which the threshold doubles as often as it must.
 
 Defined results: null, empty and word-free texts have an empty set, link with nothing and form their
 own component (component_id is their doc_id). Texts of one to four words have one shingle, all their
@@ -38,7 +43,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +55,10 @@ N = 5
 PERCENT = 75
 ORDERS = 3
 STARS = 4
-BUCKET_BITS = 18
-BROADCAST_ROWS = 2_000_000
+HOT = 8
+HOT_TOKENS = 1_000_000
+TOKENS_AT_ONCE = 1 << 22
+BROADCAST_ROWS = 1_000_000
 BYTES_AT_ONCE = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -131,13 +139,21 @@ def class_of(s: np.ndarray) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def prefix(s: np.ndarray, key: int, frequent: np.ndarray) -> np.ndarray:
-    """The first tokens of a set under order number key, as many as the filter needs."""
+def prefix(s: np.ndarray, key: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first tokens of a set in order number key, as many as the filter needs."""
     n = len(s) - -(-len(s) * PERCENT // 100) + 1
-    rank = mix(s, key)
-    late = frequent[s >> np.uint64(64 - BUCKET_BITS)]
-    rank = (rank >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-    return s[np.argpartition(rank, n - 1)[:n]] if n < len(s) else s
+    rank = (mix(s, key) >> np.uint64(6)) | (levels_of(s, hot).astype(np.uint64) << np.uint64(58))
+    first = np.argpartition(rank, n - 1)[:n] if n < len(s) else np.arange(len(s))
+    return s[first[np.argsort(rank[first])]]
+
+
+def levels_of(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The levels of a set's tokens, 0 for those that are not frequent; hot has those that are, sorted, and theirs."""
+    tokens, levels = hot
+    if not len(tokens):
+        return np.zeros(len(s), dtype=np.int64)
+    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+    return np.where(tokens[at] == s, levels[at], 0)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -179,59 +195,76 @@ def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataF
             yield batch.iloc[k : k + rows]
 
 
-def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _classes(hot: Broadcast):
     keys = range(101, 101 + STARS)
-    for batch in parts(batches):
-        sets = shingle_sets(batch["text"].tolist())
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"],
-                "k1": batch["k1"],
-                "k2": batch["k2"],
-                "bits": [bitmap(s) if len(s) else None for s in sets],
-                "cls": [class_of(s) if len(s) else None for s in sets],
-                "n": [len(s) for s in sets],
-                "firsts": [[int(s[np.argmin(mix(s, k))].view(np.int64)) for k in keys] if len(s) else None for s in sets],
-            }
-        ).astype({"cls": "Int64"})
-
-
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the buckets that stand out in this partition."""
-    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    for batch in parts(batches):
-        sets = shingle_sets(batch["text"].tolist())
-        if sets:
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-    mean = counts.mean()
-    out = np.flatnonzero(counts >= max(3.0, mean + 2 * mean**0.5))
-    yield pd.DataFrame({"bucket": out, "n": counts[out]})
-
-
-def frequent_buckets(docs: DataFrame) -> np.ndarray:
-    """Which of the 2**18 buckets of tokens are frequent; a table of fixed size."""
-    counts = docs.select("text").mapInPandas(_buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts)
-    noise = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
-    rows = counts.where(F.col("n") > 4 * noise + 64).select("bucket").toPandas()  # at most 2**18 numbers
-    out = np.zeros(1 << BUCKET_BITS, dtype=bool)
-    out[rows["bucket"].to_numpy()] = True
-    return out
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in parts(batches):
+            sets = shingle_sets(batch["text"].tolist())
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"],
+                    "k1": batch["k1"],
+                    "k2": batch["k2"],
+                    "bits": [bitmap(s) if len(s) else None for s in sets],
+                    "cls": [class_of(s) if len(s) else None for s in sets],
+                    "n": [len(s) for s in sets],
+                    "level": [float(levels_of(s, hot.value).mean()) if len(s) else None for s in sets],
+                    "firsts": [[int(s[np.argmin(mix(s, k))].view(np.int64)) for k in keys] if len(s) else None for s in sets],
+                }
+            ).astype({"cls": "Int64"})
 
-def _prefix_rows(frequent: np.ndarray):
+    return rows
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the tokens that stand in the first half under the first order's key."""
+    held: list[np.ndarray] = []
+
+    def counted() -> pd.DataFrame:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pd.DataFrame({"token": tokens.view(np.int64), "n": n})
+
+    for batch in parts(batches):
+        for s in shingle_sets(batch["text"].tolist()):
+            held.append(s[mix(s, 1) >> np.uint64(63) == 0])
+        if sum(map(len, held)) > TOKENS_AT_ONCE:
+            yield counted()
+    if held:
+        yield counted()
+
+
+def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens, sorted, and the levels of their frequencies; at most HOT_TOKENS."""
+    counts = docs.select("text").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    hot = checkpointed(counts.where(F.col("n") >= HOT).select("token", F.floor(F.log2("n")).cast("int").alias("level")))
+    total, least = 0, 64
+    for level, n in sorted(hot.groupBy("level").count().collect(), reverse=True):  # at most 64 rows
+        total += n
+        if total > HOT_TOKENS:
+            break
+        least = level
+    rows = hot.where(F.col("level") >= least).toPandas()
+    tokens = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rows["level"].to_numpy(dtype=np.int64)[order]
+
+
+def _prefix_rows(hot: Broadcast):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts(batches):
             sets = [s for s in shingle_sets(batch["text"].tolist()) if len(s)]
             if sets:
-                tokens = [prefix(s, 1, frequent) for s in sets]
+                tokens = [prefix(s, 1, hot.value) for s in sets]
                 names = np.repeat(np.array([class_of(s) for s in sets], dtype=np.int64), [len(t) for t in tokens])
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "cls": names})
+                places = np.concatenate([np.arange(1, len(t) + 1, dtype=np.int32) for t in tokens])
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "cls": names, "pos": places})
 
     return rows
 
 
-def _verified(frequent: np.ndarray | None):
+def _verified(hot: Broadcast | None):
     """Keeps the pairs that pass the other orders' filters (if given) and are similar."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,8 +276,8 @@ def _verified(frequent: np.ndarray | None):
                 keep = []
                 for x, y in zip(part["text_a"], part["text_b"], strict=True):
                     a, b = sets[x], sets[y]
-                    if frequent is not None and not all(
-                        len(np.intersect1d(prefix(a, o, frequent), prefix(b, o, frequent), assume_unique=True)) for o in range(2, ORDERS + 1)
+                    if hot is not None and not all(
+                        len(np.intersect1d(prefix(a, o, hot.value), prefix(b, o, hot.value), assume_unique=True)) for o in range(2, ORDERS + 1)
                     ):
                         keep.append(False)
                     else:
@@ -264,7 +297,7 @@ def _possible(n: pd.Series, bits: pd.Series, m: pd.Series, other: pd.Series) ->
     return pd.Series([may_be_similar(*x) for x in zip(n, bits, m, other, strict=True)], dtype=bool)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, hot: Broadcast | None) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar.
 
     reps has the row (k1, k2) that stands for each class, its size and its bitmap. Bitmaps rule most
@@ -279,40 +312,62 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent: np.ndar
     texts = with_keys(docs).join(_small(wanted), ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"])
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified(frequent), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified(hot), "a long, b long")
+
+
+SIDE = ["cls", "comp", "n", "pos"]
+
+
+def _side(name: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{name}") for c in SIDE]
+
+
+def _possible_pairs(ends: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of different components that can be similar if the row's token is the first they share."""
+    most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    fits = (F.col("comp_a") != F.col("comp_b")) & (most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+    return ends.where(fits).select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows (token, cls, pos) whose token stands in several components, with comp, n and level."""
+    named = reps.select("cls", "n", "level").join(joined, F.col("cls") == F.col("node"), "left").select("cls", "n", "level", F.coalesce("component", "cls").alias("comp"))
+    rows = rows.join(named, "cls").select("token", "cls", "pos", "comp", "n", "level")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
+    return rows.join(mixed, F.col("token") == F.col("t"), "left_semi")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, its row's keys k1 and k2, n_shingles, component_id and component (a class, null for an empty set)."""
     docs = docs.select("doc_id", "text")
-    classes = checkpointed(with_keys(docs).mapInPandas(_classes, "doc_id long, k1 long, k2 int, bits binary, cls long, n long, firsts array<long>"))
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))
+    schema = "doc_id long, k1 long, k2 int, bits binary, cls long, n long, level double, firsts array<long>"
+    classes = checkpointed(with_keys(docs).mapInPandas(_classes(hot), schema))
     named = classes.where("cls is not null")
     reps = named.groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.min("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")
-    ).select("cls", "least", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n", "firsts", "bits")
+        F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.min("n").alias("n"), F.min("level").alias("level"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")
+    ).select("cls", "least", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n", "level", "firsts", "bits")
     reps = checkpointed(reps)
 
-    first = reps.select("cls", "n", F.posexplode("firsts").alias("k", "token"))
-    pivot = first.groupBy("k", "token").agg(F.min_by("cls", F.xxhash64("cls", "k")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    first = reps.select("cls", "level", F.posexplode("firsts").alias("k", "token"))
+    pivot = first.groupBy("k", "token").agg(F.max_by("cls", F.struct("level", "cls")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = first.join(pivot, ["k", "token"]).where("cls <> pivot")
     pairs = stars.select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
     links = checkpointed(verify(pairs, docs, reps, None))
     joined = checkpointed(components(links))
 
-    frequent = frequent_buckets(docs)
-    tokens = docs.select("text").mapInPandas(_prefix_rows(frequent), "token long, cls long")
+    tokens = docs.select("text").mapInPandas(_prefix_rows(hot), "token long, cls long, pos int")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    rows = tokens.join(_small(checkpointed(shared)), F.col("token") == F.col("t")).select("token", "cls").distinct()
-    rows = rows.join(joined, rows["cls"] == joined["node"], "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-    rows = checkpointed(rows)
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    rows = rows.join(mixed, F.col("token") == F.col("t"), "left_semi").join(reps.select("cls", "n"), "cls")
-    left = rows.select("token", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = rows.select("token", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    sizes = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
-    pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & sizes).select("a", "b").distinct()
-    more = verify(pairs, docs, reps, frequent)
-    joined = checkpointed(components(links.unionByName(more)))
+    rows = tokens.join(_small(checkpointed(shared)), F.col("token") == F.col("t")).select("token", "cls", "pos").distinct()
+    rows = checkpointed(_mixed(rows, reps, joined))
+    pivot = rows.groupBy("token").agg(F.max(F.struct("level", "cls", "comp", "n", "pos")).alias("p"))
+    ends = rows.join(pivot, "token").select("token", *_side("a"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in SIDE])
+    links = checkpointed(links.unionByName(verify(_possible_pairs(ends), docs, reps, hot)))
+    joined = checkpointed(components(links))
+
+    rows = checkpointed(_mixed(rows.select("token", "cls", "pos"), reps, joined))
+    ends = rows.select("token", *_side("a")).join(rows.select("token", *_side("b")), "token").where("comp_a < comp_b")
+    joined = checkpointed(components(links.unionByName(verify(_possible_pairs(ends), docs, reps, hot))))
 
     groups = reps.join(joined, reps["cls"] == joined["node"], "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     smallest = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
