@@ -35,7 +35,7 @@ def histogram(series: DataFrame, bins: int = 50) -> DataFrame:
 def normal_overlay(series: DataFrame, points: int = 100) -> DataFrame:
     """(strategy, k, x, pdf): the normal density on points from mean - 4 sd to mean + 4 sd, in %."""
     m = series.groupBy("strategy").agg((F.avg("ret") * 100).alias("mu"), (F.stddev_samp("ret") * 100).alias("sd"))
-    at = m.select("strategy", "mu", "sd", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("long").alias("k"))
+    at = m.select("strategy", "mu", "sd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("k"))
     x = F.col("mu") - 4 * F.col("sd") + F.col("k") * 8 * F.col("sd") / (points - 1)
     z = (F.col("x") - F.col("mu")) / F.col("sd")
     return at.withColumn("x", x).select("strategy", "k", "x", (F.exp(-z * z / 2) / (F.col("sd") * F.sqrt(2 * F.pi()))).alias("pdf"))
@@ -51,7 +51,8 @@ def top_weights(weights: DataFrame, k: int = 15) -> DataFrame:
 def leaderboard(metrics: DataFrame, k: int = 3) -> DataFrame:
     """(metric, rank, strategy, value): best Sharpe, Sortino and drawdown, and least turnover."""
     tall = metrics.unpivot("strategy", ["sharpe", "sortino", "max_drawdown_pct", "avg_turnover"], "metric", "value")
-    order = F.when(F.col("metric") == "avg_turnover", F.col("value")).otherwise(-F.col("value"))
+    value = F.round("value", 9)  # equal portfolios differ in their last bits only
+    order = F.when(F.col("metric") == "avg_turnover", value).otherwise(-value)
     rank = F.row_number().over(Window.partitionBy("metric").orderBy(order, "strategy")).cast("long")
     return tall.withColumn("rank", rank).where(F.col("rank") <= k).select("metric", "rank", "strategy", "value")
 

@@ -45,11 +45,13 @@ class Market:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return universe(self.train, self.windows)
+        """A row a symbol and period; kept, because every alignment reads it."""
+        return universe(self.train, self.windows).persist()
 
     @cached_property
     def cov(self) -> DataFrame:
-        return covariances(self.rets, self.windows)
+        """Kept, because kernels and quadratic forms of all strategies read it."""
+        return covariances(self.rets, self.windows).persist()
 
     def formation(self, rows: int) -> Column:
         """Whether a training row is in the formation window: `rows` rows, the last one left out.

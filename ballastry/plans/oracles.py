@@ -155,10 +155,10 @@ ORACLES = {
     "returns_grouped_pad": sql("SELECT d, symbol, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1, 8) + 0.0 AS ret FROM panel"),
     "universe_complete": sql("SELECT p AS period, symbol FROM uni"),
     "symbols_null_after_date": sql("SELECT s.symbol FROM (SELECT DISTINCT symbol FROM px) s CROSS JOIN cal LEFT JOIN ret ON ret.symbol = s.symbol AND ret.t = cal.t WHERE cal.d > DATE '1999-01-01' GROUP BY 1 HAVING count(ret.r) < count(*)"),
-    "price_pivot": sql("SELECT d, " + ", ".join(f"round(max(close) FILTER (WHERE symbol = 'Brand#{k}'), 8) + 0.0 AS brand_{k}" for k in (1, 2, 3)) + " FROM panel GROUP BY d"),
+    "price_pivot": sql("SELECT d, " + ", ".join(f"round(max(close) FILTER (WHERE symbol = 'Brand#{k}'), 4) + 0.0 AS brand_{k}" for k in (1, 2, 3)) + " FROM panel GROUP BY d"),
     "pivot_mean": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, " + ", ".join(f"round(avg(l_discount) FILTER (WHERE l_returnflag = '{k}'), 8) + 0.0 AS \"{k}\"" for k in "ANR") + " FROM lineitem GROUP BY 1",
     "calendar_windows": sql("SELECT p AS period, p * 4 + 1 AS train_lo, p * 4 + 104 AS train_hi, p * 4 + 105 AS test_lo, p * 4 + 108 AS test_hi FROM per"),
-    "price_grid": sql("SELECT cal.d, s.symbol, round(px.close, 8) + 0.0 AS close FROM (SELECT DISTINCT symbol FROM px) s CROSS JOIN cal LEFT JOIN px ON px.symbol = s.symbol AND px.t = cal.t"),
+    "price_grid": sql("SELECT cal.d, s.symbol, round(px.close, 4) + 0.0 AS close FROM (SELECT DISTINCT symbol FROM px) s CROSS JOIN cal LEFT JOIN px ON px.symbol = s.symbol AND px.t = cal.t"),
     "training_rows": sql("SELECT p AS period, count(*) AS n, min(t) AS lo, max(t) AS hi FROM tr GROUP BY 1"),
     "pair_generator": "SELECT a.p_brand || b.p_brand AS pair FROM (SELECT DISTINCT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey) a JOIN (SELECT DISTINCT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey) b ON a.p_brand <> b.p_brand",
     "cov_matrix": sql("SELECT p AS period, i, j, round(c, 10) + 0.0 AS cov FROM cov WHERE i <= j"),
@@ -247,7 +247,7 @@ ORACLES = {
     ),
     "top15_weights": sql("SELECT strategy, rn AS rank, symbol, round(w, 8) + 0.0 AS weight, CASE WHEN rn <= 3 THEN substr(symbol, 1, 6) END AS label FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY w DESC, symbol) AS rn FROM w WHERE p = (SELECT max(p) FROM per) AND w > 0.001) WHERE rn <= 15"),
     "leaderboard": sql(
-        "SELECT metric, rn AS rank, strategy, round(value, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'avg_turnover' THEN value ELSE -value END, strategy) AS rn FROM (UNPIVOT (SELECT strategy, sharpe, sortino, max_drawdown_pct, avg_turnover FROM dyn) ON sharpe, sortino, max_drawdown_pct, avg_turnover INTO NAME metric VALUE value)) WHERE rn <= 3",
+        "SELECT metric, rn AS rank, strategy, round(value, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'avg_turnover' THEN round(value, 9) ELSE -round(value, 9) END, strategy) AS rn FROM (UNPIVOT (SELECT strategy, sharpe, sortino, max_drawdown_pct, avg_turnover FROM dyn) ON sharpe, sortino, max_drawdown_pct, avg_turnover INTO NAME metric VALUE value)) WHERE rn <= 3",
         SERIES, COSTS, DYNAMIC,
     ),
     "heatmap_z": sql(
@@ -282,3 +282,34 @@ FROM e p LEFT JOIN (SELECT * FROM e WHERE event_id % 2 = 0) c ON c.coin_id = p.c
         periods="1", train=24, step=3,
     ),
 }
+
+
+def _large(columns: str, text: str) -> str:
+    """text with the named columns cut to nine digits where they are large."""
+    near = ", ".join(f"CASE WHEN abs({c}) >= 1e4 THEN printf('%.8e', {c})::DOUBLE ELSE {c} END AS {c}" for c in columns.split())
+    return f"SELECT * REPLACE ({near}) FROM ({text})"
+
+
+for _name, _columns in {
+    "cumulative": "cum",
+    "metrics_full": "total_return_pct annualized_return_pct calmar profit_factor sortino sharpe",
+    "metrics_basic": "total_return calmar sharpe sortino",
+    "risk_return": "annualized_return_pct annualized_vol_pct sharpe",
+    "static_backtest": "cum",
+    "carry_backtest": "cum",
+    "hodl": "cum",
+    "tsm_growth_index": "growth",
+    "compare_vs_baseline": "sharpe_diff return_diff sharpe_change_pct return_change_pct",
+    "relative_performance": "relative",
+    "log_growth": "final_roi",
+    "leaderboard": "value",
+    "first_slice": "total_return_pct",
+    "price_left_joins": "price_sum",
+    "event_klines": "volume",
+    "price_grid": "close",
+    "price_pivot": "brand_1 brand_2 brand_3",
+    "listing_topn": "market_cap",
+    "upsert_by_key": "close",
+    "upsert_replace_symbol": "close",
+}.items():
+    ORACLES[_name] = _large(_columns, ORACLES[_name])

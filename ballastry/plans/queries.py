@@ -17,9 +17,18 @@ PLAIN = ["IVP", "CS_MOM", "TS_MOM", "RM_MOM"]
 QUERIES: dict = {}
 
 
+#: Doubles from here on are rounded to nine digits in all, because compounded weekly panels grow past any fixed place.
+LARGE = 1e4
+
+
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """df with its doubles rounded, and no negative zeros."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+    def near(c: str):
+        plain = F.round(c, digits) + F.lit(0.0)
+        return F.when(F.abs(plain) >= LARGE, F.format_string("%.8e", plain).cast("double")).otherwise(plain).alias(c)
+
+    return df.select(*[near(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(f):
@@ -70,7 +79,7 @@ def symbols_null_after_date(spark, sf_dir):
 @query
 def price_pivot(spark, sf_dir):
     wide = market(spark, sf_dir).px.groupBy("d").pivot("symbol", ["Brand#1", "Brand#2", "Brand#3"]).agg(F.first("close"))
-    return rounded(wide.withColumnsRenamed({f"Brand#{k}": f"brand_{k}" for k in (1, 2, 3)}))
+    return rounded(wide.withColumnsRenamed({f"Brand#{k}": f"brand_{k}" for k in (1, 2, 3)}), 4)
 
 
 @query
@@ -87,7 +96,7 @@ def calendar_windows(spark, sf_dir):
 
 @query
 def price_grid(spark, sf_dir):
-    return rounded(panel.densify(market(spark, sf_dir).px).select("d", "symbol", "close"))
+    return rounded(panel.densify(market(spark, sf_dir).px).select("d", "symbol", "close"), 4)
 
 
 @query
