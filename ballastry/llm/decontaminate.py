@@ -7,7 +7,8 @@ n * log2(13) hash steps. Document windows are looked up in the set of item windo
 is verified by its words.
 
 Plan: the item windows are broadcast when a count shows that they are at most
-``broadcast_windows``; beyond that, document windows are shuffled by hash and joined. With the
+``broadcast_windows``; beyond that, hashes of document windows are shuffled and joined, and the few
+documents with hits get their words back for the verification. With the
 broadcast, the scan of the documents has no shuffle before the hits, which are few. Word counts
 come from a second scan that splits texts but shuffles only (id, text hash, count).
 
@@ -80,17 +81,29 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int =
     sizes = benchmark.select(F.least(F.size(words_of(F.col("text"))), F.lit(WINDOW)).alias("k")).where("k > 0").distinct()
     lengths = sorted(r["k"] for r in sizes.collect()) or [WINDOW]  # at most 13 numbers
     wanted = item_windows(benchmark, lengths)
-    if wanted.select("h").limit(broadcast_windows + 1).count() <= broadcast_windows:
+    small = wanted.select("h").limit(broadcast_windows + 1).count() <= broadcast_windows
+    if small:
         wanted = F.broadcast(wanted)
     found = docs.select(F.col("doc_id").alias("_dc_id"), F.xxhash64("text").alias("_dc_key"), words_of(F.col("text")).alias("_dc_t"))
     for k in lengths:
         found = _with_window_hashes(found, "_dc_t", f"_dc_h{k}", k)
     runs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_dc_h{k}").alias("hashes")) for k in lengths])
-    found = found.select("_dc_id", "_dc_key", "_dc_t", F.explode(runs).alias("_dc_run"))
-    found = found.select("_dc_id", "_dc_key", "_dc_t", F.col("_dc_run.k").alias("_dc_k"), F.posexplode("_dc_run.hashes").alias("_dc_pos", "_dc_hash"))
+    texts = found.select("_dc_id", "_dc_key", "_dc_t")
+    own = ["_dc_id", "_dc_key", "_dc_t"] if small else ["_dc_id", "_dc_key"]  # no words are shuffled with windows
+    found = found.select(*own, F.explode(runs).alias("_dc_run"))
+    found = found.select(*own, F.col("_dc_run.k").alias("_dc_k"), F.posexplode("_dc_run.hashes").alias("_dc_pos", "_dc_hash"))
     same = (found["_dc_hash"] == wanted["h"]) & (found["_dc_k"] == wanted["k"])
-    same &= F.array_join(F.slice("_dc_t", F.col("_dc_pos") + 1, F.col("_dc_k")), " ") == F.col("window")
-    return found.join(wanted, same).select("_dc_id", "_dc_key", F.col("_dc_pos").alias("start"), F.col("_dc_k").alias("k"), "items")
+    hits = found.join(wanted, same & _reads("_dc_pos", "_dc_k", "window") if small else same)
+    if not small:
+        pairs = hits.groupBy(F.col("_dc_id").alias("i"), F.col("_dc_key").alias("t")).agg(F.collect_set(F.struct("_dc_pos", "_dc_k", "window", "items")).alias("_dc_hits"))
+        texts = texts.dropDuplicates(["_dc_id", "_dc_key"])
+        hits = texts.join(pairs, same_keys(texts, pairs, [("_dc_id", "i"), ("_dc_key", "t")])).select(*texts.columns, F.inline("_dc_hits")).where(_reads("_dc_pos", "_dc_k", "window"))
+    return hits.select("_dc_id", "_dc_key", F.col("_dc_pos").alias("start"), F.col("_dc_k").alias("k"), "items")
+
+
+def _reads(start: str, k: str, window: str) -> Column:
+    """Whether the words from a start on are those of a window."""
+    return F.array_join(F.slice("_dc_t", F.col(start) + 1, F.col(k)), " ") == F.col(window)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

@@ -32,7 +32,7 @@ Defined results: null, empty and word-free texts have an empty set, link with no
 own component (component_id is their doc_id). Texts of one to four words have one shingle, all their
 words. Rows that repeat a doc_id are judged by their own texts; rows without doc_id link like
 others, but never name a component unless all its rows lack one (then it is null). An empty table
-gives an empty result. Other columns are ignored.
+gives an empty result. Other columns are ignored; ``keep_one`` passes them through unless they are named ``_nj_*``.
 """
 
 from __future__ import annotations
@@ -384,9 +384,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = checkpointed(jaccard_components(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
-    chosen = found.where("component is not null").groupBy("component").agg(F.min(order).alias("row")).select("row.k1", "row.k2")
+    chosen = found.where("component is not null").groupBy("component").agg(F.min(order).alias("row")).select(F.col("row.k1").alias("_nj_a"), F.col("row.k2").alias("_nj_b"))
     keyed = with_keys(docs, "_nj_1", "_nj_2")
-    one = keyed.join(chosen, (F.col("_nj_1") == F.col("k1")) & (F.col("_nj_2") == F.col("k2"))).dropDuplicates(["_nj_1", "_nj_2"])
+    one = keyed.join(chosen, (F.col("_nj_1") == F.col("_nj_a")) & (F.col("_nj_2") == F.col("_nj_b"))).dropDuplicates(["_nj_1", "_nj_2"])
     empty = keyed.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return one.select(*docs.columns).unionByName(empty.select(*docs.columns))
 
