@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballastry.llm.common import table
+from ballastry.llm.common import checkpointed, table
 from ballastry.llm.url_reputation import host_of
 
 MIN_PAGES = 10
@@ -240,6 +240,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
         return pd.Series([main_text(h, frozenset(t) if t is not None else frozenset()) for h, t in zip(html, templates, strict=True)], dtype=object)
 
     lists = template_subtrees(pages, min_pages, min_share).groupBy(F.col("host").alias("_ht_host")).agg(F.collect_list("hash").alias("_ht_templates"))
+    lists = checkpointed(lists)  # counted and joined, but pages are parsed for it once
     hosted = pages.withColumn("_ht_of", host_of(F.col("url")))
     if lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         joined = hosted.join(F.broadcast(lists), F.col("_ht_of") == F.col("_ht_host"), "left")
