@@ -9,7 +9,8 @@ the lower posterior bound of its bad rate (mean - z * sd) exceeds ``max_bad``; h
 pages fall back to their prior. Explicit rules come first: the longest fitting rule wins.
 
 Plan: one aggregate by host with map-side combining (a host with a third of all pages is one row a
-task), after which all tables have a row a host at most. Reputation rows join the pages by host;
+task), after which all tables have a row a host at most. Each level is checkpointed, as the next ones
+read it several times. Reputation rows join the pages by host;
 they are left to adaptive execution, which broadcasts only what it has measured as small. The page
 side of a shuffled join is salted.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballastry.llm.common import ascii_lower, table
+from ballastry.llm.common import ascii_lower, checkpointed, table
 
 #: (verdict, host, path prefix)
 RULES = [
@@ -98,6 +99,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
         .withColumn("domain", domain_of(F.col("host")))
         .withColumn("suffix", suffix_of(F.col("host")))
     )
+    hosts = checkpointed(hosts)
     corpus = hosts.agg(F.round(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)), 9).alias("mean0"))
 
     def level(units: DataFrame, key: str, prior: str, out: str) -> DataFrame:
@@ -107,9 +109,9 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
         return joined.withColumn(out, mean).withColumn(out + "_k", F.round(F.col("k") + F.col("n"), 6)).withColumn(out + "_prior_k", F.col("k")).drop("k")
 
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(corpus))
-    suffixes = level(suffixes, "suffix", "mean0", "mean1").select("suffix", "mean1", "mean1_k")
+    suffixes = checkpointed(level(suffixes, "suffix", "mean0", "mean1").select("suffix", "mean1", "mean1_k"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = level(domains, "domain", "mean1", "mean2").select("domain", "mean2", "mean2_k")
+    domains = checkpointed(level(domains, "domain", "mean1", "mean2").select("domain", "mean2", "mean2_k"))
     hosts = level(hosts.join(domains, "domain"), "host", "mean2", "mean3").select("host", "n", "bad", "mean3", "mean3_k")
     return hosts, domains, suffixes, corpus
 
