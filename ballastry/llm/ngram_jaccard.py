@@ -23,9 +23,10 @@ Steps, all on classes of documents with equal sets:
 
 Plan: shingles are hashed (64 bits) in numpy inside the scans. Shuffled are (class, size, bitmap) rows,
 the prefix tokens of one order, and texts of candidates that the bitmaps allow. Candidates' texts are picked by a broadcast of
-their ids when a count allows it, else by a shuffled join. Frequencies are counted for the half of all
-tokens that the first order's key puts first, which holds the prefixes; they steer the order only, so
-no count can lose a link. A token in ``HOT`` sets or more is frequent; the table of those is sent to all tasks
+their ids when a count allows it, else by a shuffled join. Frequencies are counted for all
+tokens: with rare ones first, the place of the first shared token tells how many of a set's tokens nobody
+shares, and a near miss of a large group falls by that alone. They steer the order only, so no count can
+lose a link. A token in ``HOT`` sets or more is frequent; the table of those is sent to all tasks
 and holds ``HOT_TOKENS`` at most, for which the threshold doubles as often as it must.
 
 Defined results: null, empty and word-free texts have an empty set, link with nothing and form their
@@ -218,7 +219,7 @@ def _classes(hot: Broadcast):
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the tokens that stand in the first half under the first order's key."""
+    """Counts of the tokens, each text's once."""
     held: list[np.ndarray] = []
 
     def counted() -> pd.DataFrame:
@@ -228,7 +229,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in parts(batches):
         for s in shingle_sets(batch["text"].tolist()):
-            held.append(s[mix(s, 1) >> np.uint64(63) == 0])
+            held.append(s)
         if sum(map(len, held)) > TOKENS_AT_ONCE:
             yield counted()
     if held:
