@@ -2,14 +2,14 @@
 
 A page is parsed into a tree that tolerates bad markup. Element subtrees are hashed (tag, class,
 text, children), and Spark counts for each host on how many pages a subtree occurs. Subtrees on at
-least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages are template and are deleted, save for
+least ``MIN_PAGES`` pages, however many the host has, are template and are deleted, save for
 prose elements of an article, which are content even when a site repeats them. What remains is
 reduced by the meaning of tags, roles and class names to the article and written out by blocks.
 
-Plan: the first scan emits (host, subtree hash) once a page; the count has map-side combining, so a
-host with a third of all pages is no hot group. Recurring subtrees are few a host; they become one
-list a host and are joined to the pages by broadcast when a count allows it, else by a shuffled join
-that is salted by page. The second scan extracts; the html is not shuffled with the broadcast.
+Plan: the first scan emits a key of host and subtree once a page; the count has map-side combining, so
+a host with a third of all pages is no hot group. Up to ``BROADCAST_ROWS`` recurring keys are broadcast
+as numbers, and the html is not shuffled. Beyond that, each page is joined to those of its own keys that
+recur, by a hash of host and html. The second scan extracts.
 
 Defined results: a null or empty html gives an empty text. Pages without a host (null url) have no
 template removal. Repeated pages count each time and give a row each. An empty table gives an empty
@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,7 @@ from ballastry.llm.common import checkpointed, table
 from ballastry.llm.url_reputation import host_of
 
 MIN_PAGES = 10
-MIN_SHARE = 0.5
 BROADCAST_ROWS = 500_000
-SALTS = 32
 
 TOKENS = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<!\w[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -163,19 +161,27 @@ def _boilerplate(node: Node, inside: bool) -> bool:
     return node.tag not in ("html", "body", "article", "main") and any(n in DROPPED_NAMES for n in names)
 
 
-def subtree_hashes(text: str | None) -> list[int]:
-    return list({n.hash for n in _hash_all(parse(text or ""))})
+def host_key(host: str) -> int:
+    """What a subtree's hash is combined with (xor) for its key on a host."""
+    return xxhash.xxh3_64_intdigest(host) - (1 << 63)
 
 
-def main_text(text: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The text of the page's articles, or of its body where it has none, a block a line."""
+def subtree_keys(host: str, text: str | None) -> list[int]:
+    """The keys of a page's subtrees on its host."""
+    own = host_key(host)
+    return list({n.hash ^ own for n in _hash_all(parse(text or ""))})
+
+
+def main_text(text: str | None, templates: Collection[int] = frozenset(), host: str = "") -> str:
+    """The text of the page's articles, or of its body where it has none, a block a line; without its host's templates."""
     if not text:
         return ""
     root = parse(text)
-    if templates:
-        gone = {id(n) for n in _hash_all(root) if n.hash in templates}
-    else:
-        gone = set()
+    own = host_key(host)
+    return _text_of(root, {id(n) for n in _hash_all(root) if n.hash ^ own in templates} if templates else set())
+
+
+def _text_of(root: Node, gone: set[int]) -> str:
     articles, todo = [], [root]
     while todo:  # the outermost articles that are not boilerplate, in page order
         node = todo.pop()
@@ -216,39 +222,55 @@ def main_text(text: str | None, templates: frozenset[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on a host."""
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(page, key) of every subtree of the pages that have a host; page is their hash of host and html."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.iloc[k : k + 200]
-                out = pd.DataFrame({"host": part["host"], "hash": [subtree_hashes(t) for t in part["html"]]}).explode("hash").dropna()
-                yield out.astype({"hash": "int64"})
+                keys = [subtree_keys(h, t) for h, t in zip(part["host"], part["html"], strict=True)]
+                out = pd.DataFrame({"page": part["page"], "key": keys}).explode("key").dropna()
+                yield out.astype({"key": "int64"})
 
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
-    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    counts = hosted.mapInPandas(rows, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    return hosted.withColumn("page", _page()).mapInPandas(rows, "page long, key long")
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages (url, html and others) with text and n_chars."""
+def _page(host: str = "host") -> Column:
+    return F.xxhash64(host, "html")
+
 
-    @F.pandas_udf(T.StringType())
-    def extracted(html: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset(t) if t is not None else frozenset()) for h, t in zip(html, templates, strict=True)], dtype=object)
+def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(key) of the subtrees that recur on a host."""
+    return _subtrees(pages).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("key")
 
-    lists = template_subtrees(pages, min_pages, min_share).groupBy(F.col("host").alias("_ht_host")).agg(F.collect_list("hash").alias("_ht_templates"))
-    lists = checkpointed(lists)  # counted and joined, but pages are parsed for it once
+
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """pages (url, html and others) with text and n_chars."""
+    found = checkpointed(template_keys(pages, min_pages))  # counted and used, but pages are parsed for it once
     hosted = pages.withColumn("_ht_of", host_of(F.col("url")))
-    if lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = hosted.join(F.broadcast(lists), F.col("_ht_of") == F.col("_ht_host"), "left")
+    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        shared = pages.sparkSession.sparkContext.broadcast(found.toArrow()["key"].to_numpy())
+
+        @F.pandas_udf(T.StringType())
+        def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            templates = frozenset(shared.value.tolist())
+            for html, hosts in batches:
+                yield pd.Series([main_text(t, templates if h else frozenset(), h or "") for t, h in zip(html, hosts, strict=True)], dtype=object)
+
+        texts = hosted.withColumn("text", extracted("html", "_ht_of"))
     else:
-        lists = lists.withColumn("_ht_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = hosted.withColumn("_ht_row", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
-        joined = salted.join(lists, (F.col("_ht_of") == F.col("_ht_host")) & (F.col("_ht_row") == F.col("_ht_salt")), "left")
-    out = joined.withColumn("text", extracted("html", "_ht_templates")).withColumn("n_chars", F.char_length("text").cast("long"))
+        own = _subtrees(pages).distinct().join(found, "key").groupBy(F.col("page").alias("_ht_page")).agg(F.collect_list("key").alias("_ht_templates"))
+
+        @F.pandas_udf(T.StringType())
+        def extracted_by(html: pd.Series, hosts: pd.Series, templates: pd.Series) -> pd.Series:
+            rows = zip(html, hosts, templates, strict=True)
+            return pd.Series([main_text(t, frozenset(k) if h and k is not None else frozenset(), h or "") for t, h, k in rows], dtype=object)
+
+        joined = hosted.join(own, _page("_ht_of") == F.col("_ht_page"), "left")
+        texts = joined.withColumn("text", extracted_by("html", "_ht_of", "_ht_templates"))
+    out = texts.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*[c for c in pages.columns if c not in ("text", "n_chars")], "text", "n_chars")
 
 

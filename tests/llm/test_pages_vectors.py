@@ -94,6 +94,19 @@ def test_templates(spark):
     assert html_text.extract_text(empty).count() == 0
 
 
+def test_host_with_many_templates(spark):
+    strips = [f"<div><span>Strip {k}</span><div>call us</div></div>" for k in range(20)]
+    pages = [(k, f"http://big.org/{k}", f"<body>{strips[k % 20]}<div>own text {k}</div></body>") for k in range(320)]
+    pages += [(1000 + k, f"http://few.org/{k}", f"<body>{strips[k % 3]}<div>own text {k}</div></body>") for k in range(24)]
+    pages += [(2000, None, f"<body>{strips[0]}<div>x</div></body>")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for rows in (html_text.BROADCAST_ROWS, 0):
+        out = {r["page_id"]: r["text"] for r in html_text.extract_text(table, broadcast_rows=rows).collect()}
+        assert all(out[k] == f"own text {k}" for k in range(320))
+        assert all(out[1000 + k] == f"Strip {k % 3}\nown text {k}" for k in range(24))  # on 8 pages each, but "call us" on 24
+        assert out[2000] == "Strip 0\ncall us\nx" and len(out) == len(pages)
+
+
 def test_url_rules(spark):
     urls = ["http://News.ORG/x", "https://a.example.org/es/1", "http://example.org/en/12?q#f", "http://b.com/fr/", "http://b.com/de/x", "http://b.com", "no url", None, "http://badexample.org.net/es/", "x://h?p/q"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
