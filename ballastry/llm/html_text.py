@@ -1,18 +1,19 @@
 """Main text of web pages, with removal of the templates of each site.
 
 A page is parsed into a tree that tolerates bad markup. Element subtrees are hashed (tag, class,
-text, children), and Spark counts for each host on how many pages a subtree occurs. Subtrees on at
-least ``MIN_PAGES`` pages, however many the host has, are template and are deleted, save for
+text, children), and Spark counts for each host with how many contents a subtree occurs: pages with the
+same text by the rules below count once, so copies of a page, with other menus too, make no template of
+its content. Subtrees with at least ``MIN_PAGES`` contents, however many the host has, are template and are deleted, save for
 prose elements of an article, which are content even when a site repeats them. What remains is
 reduced by the meaning of tags, roles and class names to the article and written out by blocks.
 
-Plan: the first scan emits a key of host and subtree once a page; the count has map-side combining, so
-a host with a third of all pages is no hot group. Up to ``BROADCAST_ROWS`` recurring keys are broadcast
+Plan: the first scan emits a key of host and subtree, and the content's hash, once a page; distinct rows are
+dealt by both and counted with map-side combining, so a host with a third of all pages is no hot group. Up to ``BROADCAST_ROWS`` recurring keys are broadcast
 as numbers, and the html is not shuffled. Beyond that, each page is joined to those of its own keys that
 recur, by a hash of host and html. The second scan extracts.
 
 Defined results: a null or empty html gives an empty text. Pages without a host (null url) have no
-template removal. Repeated pages count each time and give a row each. An empty table gives an empty
+template removal. Repeated pages count once for templates and give a row each. An empty table gives an empty
 result. Other columns pass through, unless they are named ``text``, ``n_chars`` (replaced) or ``_ht_*``.
 """
 
@@ -166,10 +167,10 @@ def host_key(host: str) -> int:
     return xxhash.xxh3_64_intdigest(host) - (1 << 63)
 
 
-def subtree_keys(host: str, text: str | None) -> list[int]:
-    """The keys of a page's subtrees on its host."""
-    own = host_key(host)
-    return list({n.hash ^ own for n in _hash_all(parse(text or ""))})
+def subtree_keys(host: str, text: str | None) -> tuple[list[int], int]:
+    """The keys of a page's subtrees on its host, and the hash of its text with templates."""
+    own, root = host_key(host), parse(text or "")
+    return list({n.hash ^ own for n in _hash_all(root)}), xxhash.xxh3_64_intdigest(_text_of(root, set())) - (1 << 63)
 
 
 def main_text(text: str | None, templates: Collection[int] = frozenset(), host: str = "") -> str:
@@ -223,18 +224,19 @@ def _text_of(root: Node, gone: set[int]) -> str:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(page, key) of every subtree of the pages that have a host; page is their hash of host and html."""
+    """(page, content, key) of every subtree of the pages that have a host; page is their hash of host and html."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.iloc[k : k + 200]
-                keys = [subtree_keys(h, t) for h, t in zip(part["host"], part["html"], strict=True)]
-                out = pd.DataFrame({"page": part["page"], "key": keys}).explode("key").dropna()
+                found = [subtree_keys(h, t) for h, t in zip(part["host"], part["html"], strict=True)]
+                keys, contents = zip(*found, strict=True)
+                out = pd.DataFrame({"page": part["page"], "content": contents, "key": keys}).explode("key").dropna()
                 yield out.astype({"key": "int64"})
 
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
-    return hosted.withColumn("page", _page()).mapInPandas(rows, "page long, key long")
+    return hosted.withColumn("page", _page()).mapInPandas(rows, "page long, content long, key long")
 
 
 def _page(host: str = "host") -> Column:
@@ -243,7 +245,7 @@ def _page(host: str = "host") -> Column:
 
 def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(key) of the subtrees that recur on a host."""
-    return _subtrees(pages).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("key")
+    return _subtrees(pages).select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("key")
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -261,7 +263,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_rows: i
 
         texts = hosted.withColumn("text", extracted("html", "_ht_of"))
     else:
-        own = _subtrees(pages).distinct().join(found, "key").groupBy(F.col("page").alias("_ht_page")).agg(F.collect_list("key").alias("_ht_templates"))
+        own = _subtrees(pages).select("page", "key").distinct().join(found, "key").groupBy(F.col("page").alias("_ht_page")).agg(F.collect_list("key").alias("_ht_templates"))
 
         @F.pandas_udf(T.StringType())
         def extracted_by(html: pd.Series, hosts: pd.Series, templates: pd.Series) -> pd.Series:

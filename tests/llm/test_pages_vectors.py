@@ -107,6 +107,20 @@ def test_host_with_many_templates(spark):
         assert out[2000] == "Strip 0\ncall us\nx" and len(out) == len(pages)
 
 
+def test_copies_make_no_templates(spark):
+    article = "<article><div><p>text</p></div><ul><li>one</ul></article>"
+    pages = [(k, "http://copies.org/", f"<body>{article}</body>") for k in range(12)]
+    pages += [(20 + k, f"http://menus.org/{k}", f"<body><nav>Menu {k}</nav>{article}</body>") for k in range(12)]
+    pages += [(40 + k, "http://bare.org/", "<body><p>first</p><div>second</div></body>") for k in range(12)]
+    pages += [(60 + k, f"http://mixed.org/{k % 9}", f"<body><div>strip</div><div>own {k % 9}</div></body>") for k in range(27)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for rows in (html_text.BROADCAST_ROWS, 0):
+        out = {r["page_id"]: r["text"] for r in html_text.extract_text(table, broadcast_rows=rows).collect()}
+        assert all(out[k] == out[20 + k] == "text\none" and out[40 + k] == "first\nsecond" for k in range(12))
+        assert all(out[60 + k] == f"strip\nown {k % 9}" for k in range(27))  # 9 contents are too few
+        assert len(out) == len(pages)
+
+
 def test_url_rules(spark):
     urls = ["http://News.ORG/x", "https://a.example.org/es/1", "http://example.org/en/12?q#f", "http://b.com/fr/", "http://b.com/de/x", "http://b.com", "no url", None, "http://badexample.org.net/es/", "x://h?p/q"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
