@@ -3,10 +3,10 @@
 A text gets the dummy leading space of the model, and is cut before every run of spaces and around
 line feeds; no piece of the model crosses these cuts, so each chunk is merged by itself. The agenda
 of a chunk holds its candidate merges, best piece first and leftmost among equals. A candidate taken
-from the agenda is skipped if a keyed hash of (seed, variant, chunk, place, piece) falls below the
-dropout rate. The variant, one of ``VARIANTS``, is a keyed hash of the document and the chunk's place in
-it: the same word is cut in several ways, every run gives the same ids, and a chunk's ids can be kept
-in a table. With dropout 0 the ids are the model's own. Characters without a piece, and the space
+from the agenda is skipped if a keyed hash of (seed, document, place of the chunk, number of the candidate
+among those taken) falls below the dropout rate: every occurrence of a word has its own draws, and every
+run gives the same ids. Tables keep what a chunk becomes when given candidates are skipped, and how many
+it takes; that depends on no draw. With dropout 0 the ids are the model's own. Characters without a piece, and the space
 symbol U+2581 where it stands in a text, become byte pieces, so decoding gives back the text exactly.
 
 Plan: one scan, no shuffle. Each worker keeps tables of at most ``MAX_CHUNKS`` short chunks.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,12 +34,10 @@ from ballastry.llm.common import table
 
 SEED = 17
 DROPOUT = 0.1
-VARIANTS = 4
 MAX_CHUNKS = 800_000
 LONG_CHUNK = 48
 SPACE = "▁"
 CHUNKS = re.compile(r" *+[^ \n]++| ++|\n")
-_MASK = 2**64 - 1
 
 
 class PieceModel:
@@ -68,8 +66,8 @@ class PieceModel:
         place = {s: k for k, s in enumerate(order)}
         self.rank = {p: place[s] for p, (s, _) in scores.items()}
 
-    def merge(self, chunk: str, key: int, limit: int) -> list[int]:
-        """The ids of a chunk; candidates whose keyed hash is below limit (of 2**32) are skipped."""
+    def merge(self, chunk: str, skipped: Collection[int] = ()) -> tuple[list[int], int]:
+        """The ids of a chunk, and how many candidates were taken; those with a number in skipped are not merged."""
         parts: list[str | None] = [SPACE if c == " " else ("" if c == SPACE else c) for c in chunk]
         n, rank = len(parts), self.rank
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -80,15 +78,15 @@ class PieceModel:
             if r is not None:
                 agenda.append((r, i, both))
         heapq.heapify(agenda)
+        taken = 0
         while agenda:
             r, i, both = heapq.heappop(agenda)
             j = after[i]
             if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != len(both):
                 continue  # one side has been merged meanwhile
-            if limit:
-                x = ((key ^ (i * 0x9E3779B97F4A7C15) ^ (r * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & _MASK
-                if ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & _MASK) >> 32 < limit:
-                    continue
+            taken += 1
+            if taken - 1 in skipped:
+                continue
             parts[i], parts[j] = both, None
             k = after[i] = after[j]
             if k < n:
@@ -113,7 +111,7 @@ class PieceModel:
                 out.append(own)
             else:
                 out += [self.byte[b] for b in (part or SPACE).encode()]
-        return out
+        return out, taken
 
     def decode(self, ids) -> str:
         """The text: the pieces' bytes without the dummy leading space."""
@@ -121,38 +119,67 @@ class PieceModel:
         return b"".join([surface[i] for i in ids])[1:].decode()
 
 
+def draws(key: int, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """32-bit draws for candidates by document key, place of the chunk and number of the candidate."""
+    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= np.uint64(key)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(factor)
+    return x >> np.uint64(32)
+
+
 class Encoder:
-    """Encodes texts; keeps what it knows of short chunks, by variant, in bounded tables."""
+    """Encodes texts; keeps what short chunks become, by the candidates skipped, in bounded tables."""
 
     def __init__(self, model: PieceModel, dropout: float, seed: int) -> None:
         self.model, self.limit, self.seed = model, int(dropout * 2**32), seed
-        self.variants = VARIANTS if self.limit else 1
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.whole: dict[str, tuple[bytes, int]] = {}
+        self.skipped: dict[tuple, tuple[bytes, int]] = {}
 
     def __call__(self, doc_id: int | None, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.int32)
-        if sum(map(len, self.tables)) > MAX_CHUNKS:
-            for t in self.tables:
-                t.clear()
+        if len(self.whole) + len(self.skipped) > MAX_CHUNKS:
+            self.whole.clear()
+            self.skipped.clear()
         chunks = CHUNKS.findall(" " + text)
-        if self.variants == 1:
-            which = [0] * len(chunks)
-        else:
-            key = np.uint64(xxhash.xxh3_64_intdigest(f"{doc_id}", self.seed))
-            x = (np.arange(len(chunks), dtype=np.uint64) ^ key) * np.uint64(0xD6E8FEB86659FD93)
-            which = ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        out = []
-        for chunk, v in zip(chunks, which, strict=True):
-            ids = self.tables[v].get(chunk)
-            if ids is None:
-                key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + v)
-                ids = np.array(self.model.merge(chunk, key, self.limit), dtype="<i4").tobytes()
-                if len(chunk) <= LONG_CHUNK:
-                    self.tables[v][chunk] = ids
-            out.append(ids)
+        whole = self.whole
+        found = [whole.get(c) or self._merged(c, whole, c) for c in chunks]
+        out = [ids for ids, _ in found]
+        if self.limit:
+            key = xxhash.xxh3_64_intdigest(f"{doc_id}", self.seed)
+            taken = np.array([n for _, n in found], dtype=np.int64)
+            place = np.repeat(np.arange(len(chunks)), taken)
+            number = np.arange(len(place)) - np.repeat(np.cumsum(taken) - taken, taken)
+            hit = np.flatnonzero(draws(key, place, number) < self.limit)
+            skips: dict[int, list[int]] = {}
+            for at, n in zip(place[hit].tolist(), number[hit].tolist(), strict=True):
+                skips.setdefault(at, []).append(n)
+            for at, own in skips.items():
+                out[at] = self._dropped(chunks[at], key, at, own, found[at][1])
         return np.frombuffer(b"".join(out), dtype="<i4")
 
+    def _merged(self, chunk: str, kept: dict, name, skipped: Collection[int] = ()) -> tuple[bytes, int]:
+        ids, taken = self.model.merge(chunk, skipped)
+        found = np.array(ids, dtype="<i4").tobytes(), taken
+        if len(chunk) <= LONG_CHUNK:
+            kept[name] = found
+        return found
+
+    def _dropped(self, chunk: str, key: int, place: int, own: list[int], drawn: int) -> bytes:
+        """The ids with own skipped, of the first `drawn` candidates; those taken beyond are drawn here."""
+        while True:
+            name = (chunk, *own)
+            ids, taken = self.skipped.get(name) or self._merged(chunk, self.skipped, name, own if len(own) < 8 else set(own))
+            if taken <= drawn:
+                return ids
+            number = np.arange(drawn, taken)
+            more = number[draws(key, np.full(len(number), place), number) < self.limit].tolist()
+            if not more:
+                return ids
+            own, drawn = own + more, taken
+
 
 _kept: dict[tuple, Encoder] = {}
 

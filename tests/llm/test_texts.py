@@ -207,6 +207,27 @@ def test_piece_dropout(spark):
     assert again[len(texts) - 1] != plain[len(texts) - 1]
 
 
+def test_piece_dropout_draws_for_each_occurrence():
+    import public_tokenizers
+
+    model = piece_dropout.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    encode = piece_dropout.Encoder(model, 0.1, 17)
+    for word in ("to", "the", "was", "segmentations"):
+        ids, taken = model.merge(" " + word)
+        seen = []
+        for doc_id in range(100):
+            got = encode(doc_id, " ".join([word] * 40)).tolist()
+            assert model.decode(got) == " ".join([word] * 40)
+            starts = [k for k, i in enumerate(got) if model.surface[i].startswith(b" ")] + [len(got)]
+            seen += [tuple(got[a:b]) for a, b in zip(starts, starts[1:])]
+        assert len(seen) == 4000
+        whole = sum(s == tuple(ids) for s in seen) / 4000
+        assert 0.9**taken - 0.02 < whole < 0.9 ** max(1, taken // 3) + 0.02 < 1, word
+    assert len(set(seen)) > 4
+    cold = piece_dropout.Encoder(model, 0.1, 17)
+    assert cold(99, "to the was segmentations").tolist() == encode(99, "to the was segmentations").tolist()
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
