@@ -74,17 +74,23 @@ def hashed_unit(*keys: Column) -> Column:
 
 def monte_carlo(means: DataFrame, cov: DataFrame, portfolios: int = 5000) -> DataFrame:
     """(portfolio, ret, vol, sharpe) of random normalised weights over assets (symbol, mu); cov has i <= j."""
+    zero = F.lit(0).cast("long")
+    return monte_carlo_by_period(means.withColumn("period", zero), cov.withColumn("period", zero), portfolios).drop("period")
+
+
+def monte_carlo_by_period(means: DataFrame, cov: DataFrame, portfolios: int = 5000) -> DataFrame:
+    """(period, portfolio, ret, vol, sharpe) over assets (period, symbol, mu); each period has the same draws."""
     ids = means.sparkSession.range(portfolios).select(F.col("id").alias("portfolio"))
-    raw = ids.crossJoin(F.broadcast(means)).withColumn("u", hashed_unit(F.col("portfolio"), F.col("symbol")))  # means: a row an asset
-    w = raw.withColumn("weight", F.col("u") / F.sum("u").over(Window.partitionBy("portfolio"))).withColumn("period", F.lit(0).cast("long"))
-    gain = w.groupBy("portfolio").agg(F.sum(F.col("weight") * F.col("mu")).alias("ret"))
-    var = quadratic(w.select("period", "portfolio", "symbol", "weight"), cov.withColumn("period", F.lit(0).cast("long")), ["period", "portfolio"])
-    return gain.join(var, "portfolio").select("portfolio", "ret", F.sqrt("var").alias("vol"), F.try_divide("ret", F.sqrt("var")).alias("sharpe"))
+    raw = ids.crossJoin(F.broadcast(means)).withColumn("u", hashed_unit(F.col("portfolio"), F.col("symbol")))  # means: a row an asset and period
+    w = raw.withColumn("weight", F.col("u") / F.sum("u").over(Window.partitionBy("period", "portfolio")))
+    gain = w.groupBy("period", "portfolio").agg(F.sum(F.col("weight") * F.col("mu")).alias("ret"))
+    var = quadratic(w.select("period", "portfolio", "symbol", "weight"), cov, ["period", "portfolio"])
+    return gain.join(var, ["period", "portfolio"]).select("period", "portfolio", "ret", F.sqrt("var").alias("vol"), F.try_divide("ret", F.sqrt("var")).alias("sharpe"))
 
 
-def frontier_ends(frontier: DataFrame) -> DataFrame:
-    """The portfolios of highest Sharpe ratio and of least volatility; ties go to the smaller number."""
-    return frontier.agg(F.min_by("portfolio", F.struct(-F.col("sharpe"), "portfolio")).alias("max_sharpe"), F.min_by("portfolio", F.struct("vol", "portfolio")).alias("min_vol"))
+def frontier_ends(frontier: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The portfolios of highest Sharpe ratio and of least volatility, by keys; ties go to the smaller number."""
+    return frontier.groupBy(*keys or []).agg(F.min_by("portfolio", F.struct(-F.col("sharpe"), "portfolio")).alias("max_sharpe"), F.min_by("portfolio", F.struct("vol", "portfolio")).alias("min_vol"))
 
 
 def sampled_eigenvalues(cov: DataFrame, sizes: list[int]) -> DataFrame:
@@ -93,3 +99,14 @@ def sampled_eigenvalues(cov: DataFrame, sizes: list[int]) -> DataFrame:
     sized = symbols.select("symbol", "order", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("period")).where("order <= period")
     a, b = sized.select("period", F.col("symbol").alias("i")), sized.select("period", F.col("symbol").alias("j"))
     return kernels.eigenvalues_by_group(cov.drop("period").join(a, "i").join(b, ["period", "j"]).select("period", "i", "j", "cov"))
+
+
+def sampled_eigenvalues_by_period(cov: DataFrame, sizes: list[int]) -> DataFrame:
+    """(period, size, rank, value) for samples of each period's symbols with the smallest md5."""
+    by_md5 = Window.partitionBy("period").orderBy(F.md5("symbol"))
+    symbols = cov.where("i = j").select("period", F.col("i").alias("symbol")).withColumn("order", F.row_number().over(by_md5))
+    sized = symbols.select("period", "symbol", "order", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("size")).where("order <= size")
+    sized = sized.withColumn("id", F.col("period") * F.lit(2**20) + F.col("size"))
+    a, b = sized.select("period", "id", F.col("symbol").alias("i")), sized.select("id", F.col("symbol").alias("j"))
+    values = kernels.eigenvalues_by_group(cov.join(a, ["period", "i"]).join(b, ["id", "j"]).select(F.col("id").alias("period"), "i", "j", "cov"))
+    return values.select(F.floor(F.col("period") / 2**20).alias("period"), (F.col("period") % 2**20).alias("size"), "rank", "value")

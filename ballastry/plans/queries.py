@@ -139,6 +139,11 @@ def second_order_distance(spark, sf_dir):
     return rounded(moments.second_order_distance(moments.correlations(m.cov)).where("i < j"), 7)
 
 
+@query
+def second_order_distance_all(spark, sf_dir):
+    return rounded(moments.second_order_distance(moments.correlations(market(spark, sf_dir).cov)).where("i < j"), 7)
+
+
 @query
 def ivp_weights(spark, sf_dir):
     return rounded(strategies.inverse_variance(market(spark, sf_dir)))
@@ -173,6 +178,16 @@ def hrp_weights(spark, sf_dir):
     return rounded(strategies.hierarchical(market(spark, sf_dir, periods=1)).select("symbol", "weight"))
 
 
+@query
+def hrp_leaf_order_all(spark, sf_dir):
+    return kernels.hrp_by_period(market(spark, sf_dir).cov).select("period", "symbol", "pos")
+
+
+@query
+def hrp_weights_all(spark, sf_dir):
+    return rounded(strategies.hierarchical(market(spark, sf_dir)))
+
+
 @query
 def hrp_linkage(spark, sf_dir):
     return rounded(kernels.linkage_by_period(market(spark, sf_dir).cov))
@@ -215,6 +230,11 @@ def tsm_growth_index(spark, sf_dir):
     return rounded(strategies.growth_index(market(spark, sf_dir, periods=1)).select("t_idx", "symbol", "growth"))
 
 
+@query
+def tsm_growth_index_all(spark, sf_dir):
+    return rounded(strategies.growth_index(market(spark, sf_dir)))
+
+
 @query
 def tsm_ma_equal(spark, sf_dir):
     return rounded(strategies.time_series(market(spark, sf_dir)))
@@ -260,6 +280,11 @@ def mh_weights(spark, sf_dir):
     return rounded(strategies.momentum_hierarchical(market(spark, sf_dir, periods=1)).select("symbol", "weight"))
 
 
+@query
+def mh_weights_all(spark, sf_dir):
+    return rounded(strategies.momentum_hierarchical(market(spark, sf_dir)))
+
+
 @query
 def hodl(spark, sf_dir):
     m = market(spark, sf_dir)
@@ -432,6 +457,22 @@ def frontier_argmax(spark, sf_dir):
     return analysis.frontier_ends(_frontier(spark, sf_dir))
 
 
+def _frontiers(spark, sf_dir):
+    m = market(spark, sf_dir)
+    means = m.train.join(m.universe, ["period", "symbol"], "left_semi").groupBy("period", "symbol").agg(F.avg("ret").alias("mu"))
+    return analysis.monte_carlo_by_period(means, m.cov, 500)
+
+
+@query
+def monte_carlo_frontier_all(spark, sf_dir):
+    return rounded(_frontiers(spark, sf_dir), 7)
+
+
+@query
+def frontier_argmax_all(spark, sf_dir):
+    return analysis.frontier_ends(_frontiers(spark, sf_dir), ["period"])
+
+
 @query
 def eigen_invariants(spark, sf_dir):
     """Sums of eigenvalues and of their squares by sample size: the trace and the squared norm."""
@@ -440,6 +481,12 @@ def eigen_invariants(spark, sf_dir):
     return rounded(out)
 
 
+@query
+def eigenvalues_all(spark, sf_dir):
+    """Eigenvalues by period and sample size."""
+    return rounded(analysis.sampled_eigenvalues_by_period(market(spark, sf_dir).cov, [2, 5, 10]), 10)
+
+
 # Sources
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -188,3 +189,47 @@ def test_carried_costs_equal_a_fold(spark):
                 value *= 1 + r["ret"]
                 want.append(value)
     assert np.allclose([r["cum"] for r in rows], want)
+
+
+def test_all_periods_against_numpy(spark):
+    m = QUERIES["training_rows"].__globals__["market"](spark, SF)
+    rows = m.train.select("period", "t_idx", "symbol", "ret").toPandas()
+    whole = {p: own.pivot(index="t_idx", columns="symbol", values="ret").dropna(axis=1) for p, own in rows.groupby("period")}
+    whole = {p: x for p, x in whole.items() if len(x) == m.windows.train and x.shape[1] > 1}
+    assert len(whole) == m.windows.periods > 1
+    got = {n: QUERIES[n + "_all"](spark, SF).toPandas() for n in ("second_order_distance", "hrp_leaf_order", "hrp_weights", "tsm_growth_index", "mh_weights", "monte_carlo_frontier", "frontier_argmax")}
+    got["eigenvalues"] = QUERIES["eigenvalues_all"](spark, SF).toPandas()
+    by = {n: dict(list(df.groupby("period"))) for n, df in got.items()}
+    assert all(set(own) == set(whole) for own in by.values())
+    unit = lambda *key: int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 2**32
+    for p, x in whole.items():
+        names, cov = list(x.columns), np.cov(x.to_numpy().T)
+        dist = kernels.distances(cov)
+        far = by["second_order_distance"][p]
+        at = [[names.index(s) for s in far[c]] for c in ("i", "j")]
+        assert np.allclose(far["dist2"], np.linalg.norm(dist[at[0]] - dist[at[1]], axis=1), atol=1e-6) and len(far) == len(names) * (len(names) - 1) // 2
+        order = kernels.leaf_order(len(names), kernels.single_linkage(dist))
+        assert by["hrp_leaf_order"][p].sort_values("pos")["symbol"].tolist() == [names[k] for k in order]
+        w = by["hrp_weights"][p].set_index("symbol")["weight"]
+        assert np.allclose(w[names], kernels.bisected(cov, order), atol=1e-7)
+        g = by["tsm_growth_index"][p].pivot(index="t_idx", columns="symbol", values="growth")
+        assert np.allclose(g[names], (1 + x).cumprod(), rtol=1e-6)
+        score = ((1 + x.iloc[-22:-1]).prod() - 1).to_dict()
+        won = sorted(names, key=lambda s: (-score[s], s))[: max(5, int(len(names) * 0.4))]
+        own = x[won].to_numpy()
+        c = np.cov(own.T)
+        want = dict.fromkeys(names, 0.0) | dict(zip(won, kernels.bisected(c, kernels.leaf_order(len(won), kernels.single_linkage(kernels.distances(c))))))
+        w = by["mh_weights"][p].set_index("symbol")["weight"]
+        assert np.allclose(w[names], [want[s] for s in names], atol=1e-7)
+        front = by["monte_carlo_frontier"][p].sort_values("portfolio")
+        u = np.array([[unit(k, s) for s in names] for k in front["portfolio"].head(20)])
+        u /= u.sum(axis=1, keepdims=True)
+        mean, vol = u @ x.mean().to_numpy(), np.sqrt(np.einsum("ki,ij,kj->k", u, cov, u))
+        assert np.allclose(front["ret"].head(20), mean, rtol=1e-6, atol=1e-6) and np.allclose(front["vol"].head(20), vol, rtol=1e-6, atol=1e-6)
+        ends = by["frontier_argmax"][p].iloc[0]
+        at = front.set_index("portfolio")
+        assert at["sharpe"][ends["max_sharpe"]] == at["sharpe"].max() and at["vol"][ends["min_vol"]] == at["vol"].min()
+        named = sorted(names, key=lambda s: hashlib.md5(s.encode()).hexdigest())
+        for size, own in by["eigenvalues"][p].groupby("size"):
+            part = [names.index(s) for s in named[:size]]
+            assert np.allclose(own.sort_values("rank")["value"], np.linalg.eigvalsh(cov[np.ix_(part, part)])[::-1], rtol=1e-6, atol=1e-8)
