@@ -102,10 +102,12 @@ def sampled_eigenvalues(cov: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def sampled_eigenvalues_by_period(cov: DataFrame, sizes: list[int]) -> DataFrame:
-    """(period, size, rank, value) for samples of each period's symbols with the smallest md5."""
+    """(period, size, rank, value) for samples of each period's symbols with the smallest md5, and for all its symbols."""
     by_md5 = Window.partitionBy("period").orderBy(F.md5("symbol"))
     symbols = cov.where("i = j").select("period", F.col("i").alias("symbol")).withColumn("order", F.row_number().over(by_md5))
-    sized = symbols.select("period", "symbol", "order", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("size")).where("order <= size")
+    symbols = symbols.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("period")))
+    own = F.array_distinct(F.array(*[F.least(F.lit(s).cast("long"), F.col("n")) for s in sizes], F.col("n")))
+    sized = symbols.select("period", "symbol", "order", F.explode(own).alias("size")).where("order <= size")
     sized = sized.withColumn("id", F.col("period") * F.lit(2**20) + F.col("size"))
     a, b = sized.select("period", "id", F.col("symbol").alias("i")), sized.select("id", F.col("symbol").alias("j"))
     values = kernels.eigenvalues_by_group(cov.join(a, ["period", "i"]).join(b, ["id", "j"]).select(F.col("id").alias("period"), "i", "j", "cov"))

@@ -82,6 +82,13 @@ def price_pivot(spark, sf_dir):
     return rounded(wide.withColumnsRenamed({f"Brand#{k}": f"brand_{k}" for k in (1, 2, 3)}), 4)
 
 
+@query
+def price_pivot_all(spark, sf_dir):
+    """The prices of all symbols, a column each."""
+    wide = market(spark, sf_dir).px.groupBy("d").pivot("symbol").agg(F.first("close"))
+    return rounded(wide.withColumnsRenamed({c: c.lower().replace("#", "_") for c in wide.columns}), 4)
+
+
 @query
 def pivot_mean(spark, sf_dir):
     wide = load(spark, sf_dir, "lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("d")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.avg("l_discount"))
@@ -460,7 +467,7 @@ def frontier_argmax(spark, sf_dir):
 def _frontiers(spark, sf_dir):
     m = market(spark, sf_dir)
     means = m.train.join(m.universe, ["period", "symbol"], "left_semi").groupBy("period", "symbol").agg(F.avg("ret").alias("mu"))
-    return analysis.monte_carlo_by_period(means, m.cov, 500)
+    return analysis.monte_carlo_by_period(means, m.cov)
 
 
 @query
@@ -483,8 +490,8 @@ def eigen_invariants(spark, sf_dir):
 
 @query
 def eigenvalues_all(spark, sf_dir):
-    """Eigenvalues by period and sample size."""
-    return rounded(analysis.sampled_eigenvalues_by_period(market(spark, sf_dir).cov, [2, 5, 10]), 10)
+    """Eigenvalues by period and sample size, the last of which is all symbols."""
+    return rounded(analysis.sampled_eigenvalues_by_period(market(spark, sf_dir).cov, [2, 5, 10, 20, 30, 40]), 10)
 
 
 # Sources

@@ -230,6 +230,17 @@ def test_all_periods_against_numpy(spark):
         at = front.set_index("portfolio")
         assert at["sharpe"][ends["max_sharpe"]] == at["sharpe"].max() and at["vol"][ends["min_vol"]] == at["vol"].min()
         named = sorted(names, key=lambda s: hashlib.md5(s.encode()).hexdigest())
+        assert len(front) == 5000
+        sizes = {min(k, len(names)) for k in (2, 5, 10, 20, 30, 40, len(names))}
+        assert set(by["eigenvalues"][p]["size"]) == sizes
         for size, own in by["eigenvalues"][p].groupby("size"):
             part = [names.index(s) for s in named[:size]]
             assert np.allclose(own.sort_values("rank")["value"], np.linalg.eigvalsh(cov[np.ix_(part, part)])[::-1], rtol=1e-6, atol=1e-8)
+
+
+def test_pivot_of_all_symbols(spark):
+    px = QUERIES["price_grid"].__globals__["market"](spark, SF).px.toPandas()
+    wide = QUERIES["price_pivot_all"](spark, SF).toPandas().set_index("d")
+    want = px.assign(symbol=px["symbol"].str.lower().str.replace("#", "_")).pivot(index="d", columns="symbol", values="close")
+    assert set(wide.columns) == set(want.columns) and len(wide.columns) > 3
+    assert np.allclose(wide.loc[want.index, want.columns].astype(float), want.astype(float), atol=1e-4, equal_nan=True)
