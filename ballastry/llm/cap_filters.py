@@ -177,13 +177,17 @@ def _links_in(group: pd.DataFrame, threshold: float, kinds: dict[int, str]) -> p
     one = np.flatnonzero(side == i)
     two = one if i == j else np.flatnonzero(side == j)
     x = _unit(np.stack(group["vector"].to_numpy()))
-    near = x[one] @ x[two].T >= threshold - 1e-12
+    product = x[one] @ x[two].T
+    near = product >= threshold - 1e-12
     if i == j:
         near = np.triu(near, 1)
     r, c = np.nonzero(near)
-    if len(r):
-        exact = np.einsum("nd,nd->n", x[one[r]], x[two[c]]) >= threshold if len(r) < 100_000 else np.ones(len(r), dtype=bool)
-        r, c = r[exact], c[exact]
+    exact = np.ones(len(r), dtype=bool)
+    close = np.flatnonzero(product[r, c] <= threshold + 1e-12)  # the order of summation decides no other pair
+    for k in range(0, len(close), 1 << 14):
+        at = close[k : k + (1 << 14)]
+        exact[at] = np.einsum("nd,nd->n", x[one[r[at]]], x[two[c[at]]]) >= threshold
+    r, c = r[exact], c[exact]
     if not len(r):
         return None
     lists = [np.frombuffer(b, kinds[group["dim"].iloc[0]]) for b in group["filters"]]

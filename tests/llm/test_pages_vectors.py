@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from ballastry.llm import cap_filters, html_text, url_reputation
 
@@ -53,6 +54,15 @@ def test_cap_filter_recall(spark):
     assert sum(got.values()) >= 0.9 * sum(links)
 
 
+def test_pairs_below_the_threshold_do_not_link_in_large_blocks():
+    below = 0.9 - 5e-13
+    for copies in (5, 460):  # 460 copies make 105,570 pairs of their own
+        vectors = [[1.0, 0.0]] * copies + [[below, float(np.sqrt(1 - below * below))]]
+        rows = {"cls": range(copies + 1), "n": 1, "dim": 2, "filter": 7, "i": 0, "j": 0, "chunk": 0, "filters": np.array([7], dtype=np.int64).tobytes()}
+        got = cap_filters._links_in(pd.DataFrame(rows | {"vector": vectors}), 0.9, {2: "int64"}).set_index("cls")["links"].to_dict()
+        assert got == dict.fromkeys(range(copies), copies - 1)
+
+
 def test_list_decoding_finds_all_filters():
     code = cap_filters.ProductCode(16, 10_000)
     x = np.random.default_rng(2).standard_normal((5, 16))
