@@ -207,25 +207,74 @@ def test_piece_dropout(spark):
     assert again[len(texts) - 1] != plain[len(texts) - 1]
 
 
-def test_piece_dropout_draws_for_each_occurrence():
+def dropped(path, doc_id, text, dropout, seed):
+    """Merge-dropout as stated, in plain Python: the best candidate of a chunk first, each drawn once."""
+    import sentencepiece
+    import xxhash
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    score = {model.id_to_piece(i): (-model.get_score(i), i) for i in plain}
+    key, wide, out = xxhash.xxh3_64_intdigest(f"{doc_id}", seed), 2**64 - 1, []
+    for place, chunk in enumerate(re.findall(r" *[^ \n]+| +|\n", " " + text) if text else []):
+        parts, skipped, number = ["▁" if c == " " else "\0" if c == "▁" else c for c in chunk], set(), 0
+        names = list(range(len(parts)))
+        while True:
+            found = [(score[a + b][0], n, k) for k, (a, b, n) in enumerate(zip(parts, parts[1:], names)) if a + b in score and (n, a, b) not in skipped]
+            if not found:
+                break
+            _, n, k = min(found)
+            x = (place * 0x9E3779B97F4A7C15 + number * 0xC2B2AE3D27D4EB4F & wide) ^ key
+            for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+                x = (x ^ x >> 30) * factor & wide
+            number += 1
+            if x >> 32 < int(dropout * 2**32):
+                skipped.add((n, parts[k], parts[k + 1]))
+            else:
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del names[k + 1]
+        for p in parts:
+            out += [score[p][1]] if p in score else [model.piece_to_id(f"<0x{b:02X}>") for b in p.replace("\0", "▁").encode()]
+    return out
+
+
+def test_piece_dropout_by_brute_force(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [t for t in EDGES if len(t or "") < 1000] + ["▁ odd ▁▁ spaces", "The quick brown fox jumps over unbelievable segmentations.\n" * 4, "x" * 300 + "unsegmented" * 12, "Größe naïve 🙂 ok"]
+    for dropout in (0.1, 0.5):
+        got = {r["doc_id"]: r["ids"] for r in piece_dropout.encode_texts(documents(spark, texts), path, dropout=dropout, seed=5).collect()}
+        for k, t in enumerate(texts):
+            assert got[k] == dropped(path, k, t, dropout, 5), (dropout, t)
+
+
+def test_piece_dropout_draws_for_each_occurrence(monkeypatch):
     import public_tokenizers
 
     model = piece_dropout.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
     encode = piece_dropout.Encoder(model, 0.1, 17)
+    starts_word = [model.decode([i]).startswith(b" ") for i in range(model.size)]
     for word in ("to", "the", "was", "segmentations"):
-        ids, taken = model.merge(" " + word)
+        whole = encode.model.merge(" " + word).tolist()
         seen = []
-        for doc_id in range(100):
-            got = encode(doc_id, " ".join([word] * 40)).tolist()
-            assert model.decode(got) == " ".join([word] * 40)
-            starts = [k for k, i in enumerate(got) if model.surface[i].startswith(b" ")] + [len(got)]
+        for doc_id, got in enumerate(encode(list(range(100)), [" ".join([word] * 40)] * 100)):
+            got = got.tolist()
+            assert model.decode(got) == b" " + " ".join([word] * 40).encode()
+            starts = [k for k, i in enumerate(got) if starts_word[i]] + [len(got)]
             seen += [tuple(got[a:b]) for a, b in zip(starts, starts[1:])]
         assert len(seen) == 4000
-        whole = sum(s == tuple(ids) for s in seen) / 4000
-        assert 0.9**taken - 0.02 < whole < 0.9 ** max(1, taken // 3) + 0.02 < 1, word
+        taken = int(encode.taken.data[encode.index[" " + word]])
+        share = sum(s == tuple(whole) for s in seen) / 4000
+        assert 0.9**taken - 0.02 < share < 0.9 ** max(1, taken // 3) + 0.02 < 1, word
     assert len(set(seen)) > 4
+    texts = [None, "", " to  the\nwas " * 50, "segmentations " * 700, "a b" * 900, "z" * 100 + " end"] * 3
+    want = [x.tolist() for x in encode(list(range(18)), texts)]
+    monkeypatch.setattr(piece_dropout, "CHARS_AT_ONCE", 64)
+    monkeypatch.setattr(piece_dropout, "OCCURRENCES", 7)
+    monkeypatch.setattr(piece_dropout, "MAX_CHUNKS", 3)
     cold = piece_dropout.Encoder(model, 0.1, 17)
-    assert cold(99, "to the was segmentations").tolist() == encode(99, "to the was segmentations").tolist()
+    assert [x.tolist() for x in cold(list(range(18)), texts)] == want
 
 
 def test_token_files(spark, tmp_path):
