@@ -4,17 +4,18 @@ Three metadata dimensions (language, source, size) are quantised to 32 levels ea
 hash, the size by its logarithm. Rows are sorted by their place on the three-dimensional Hilbert
 curve through these cells, then by text hash, size and id, and the order is cut into runs of
 equal row counts. Rows that are close in all dimensions share a shard, so a filter on any of them
-touches few shards; equal texts of one cell are neighbours. The law is ``rows``: shard counts
-differ by one at most, so a large group of equal texts is cut where a shard is full.
+touches few shards, which ``shard_statistics`` and ``shards_for`` tell. Rows of equal texts all take the least cell among them, so they are neighbours. The law is ``rows``: shard counts
+differ by one at most, so a group of equal texts is cut only where a shard is full.
 
-Plan: only (id, size, crc, cell) is range-partitioned, never the text. A row's rank is its place in
+Plan: only (id, size, text hashes, cell) is range-partitioned for the placement, never the text. Cells of equal texts come from an
+aggregate with map-side combining, of which only texts in several cells are joined back. A row's rank is its place in
 its partition, which Spark's row ids give without a shuffle, plus the row counts of the partitions
 before it: one number for each partition. The ordered rows are checkpointed, because range
 boundaries come from a sample and must not be drawn twice. Range boundaries include the id, so a
-hot cell or group of copies spreads over many partitions.
+hot cell or group of copies spreads over many partitions. ``write_shards`` moves whole rows once, and writes a folder a shard.
 
-Defined results: a null text has size 1 and crc 0. A null language or source has level 0. Repeated rows each get a slot of their own. An empty table gives an empty result. Columns
-other than doc_id, text, lang and source are not read.
+Defined results: a null text has size 1 and crc 0; it counts as equal to the empty text. A null language or source has level 0. Repeated rows each get a slot of their own. An empty table gives an empty result. Columns
+other than doc_id, text, lang and source are not read by ``hilbert_shards``; ``write_shards`` writes all of them, save those named shard or slot (replaced).
 """
 
 from __future__ import annotations
@@ -73,13 +74,29 @@ def level_of_size(size: Column) -> Column:
     return F.least(F.greatest(F.floor(F.log2(size.cast("double")) * 2) - 8, F.lit(0)), F.lit(2**BITS - 1)).cast("int")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, lang, source, curve, shard and slot of every row."""
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+def _in_cells(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The rows with size, text_crc32, levels and cell; those of equal texts have the least cell of all."""
+    text = F.coalesce("text", F.lit(""))
     cells = docs.select(
-        "doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), "lang", "source"
-    ).withColumn("curve", _curve(level_of_name(F.col("lang")), level_of_name(F.col("source")), level_of_size(F.col("size"))))
-    order = ["curve", "text_crc32", "size", "doc_id"]
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).cast("long").alias("text_crc32"),
+        "lang",
+        "source",
+        F.xxhash64(text).alias("_hs_text"),
+        *([F.struct(*carried).alias("_hs_doc")] if carried else []),
+    )
+    levels = (level_of_name(F.col("lang")), level_of_name(F.col("source")), level_of_size(F.col("size")))
+    cells = cells.withColumn("curve", _curve(*levels))
+    key = ["_hs_text", "text_crc32", "size"]
+    apart = cells.groupBy(*key).agg(F.min("curve").alias("_hs_least"), F.max("curve").alias("_hs_most")).where("_hs_least < _hs_most").drop("_hs_most")
+    return cells.join(apart, key, "left").withColumn("curve", F.coalesce("_hs_least", "curve")).drop("_hs_least")
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 16, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, lang, source, curve, shard and slot of every row, and a struct _hs_doc of the columns to carry."""
+    cells = _in_cells(docs, carried or [])
+    order = ["curve", "_hs_text", "size", "doc_id"]
     ordered = checkpointed(
         cells.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_hs_row", F.monotonically_increasing_id())
     )
@@ -97,10 +114,42 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     ranked = ranked.withColumn("shard", shard.cast("int"))
     start = F.expr(f"(cast(shard as bigint) * {max(total, 1)}L + {shards - 1}L) div {shards}L")
     return ranked.withColumn("slot", (F.col("_hs_rank") - start).cast("long")).select(
-        "doc_id", "size", "text_crc32", "lang", "source", "curve", "shard", "slot"
+        "doc_id", "size", "text_crc32", "lang", "source", "curve", "shard", "slot", *(["_hs_doc"] if carried else [])
+    )
+
+
+def shard_statistics(placed: DataFrame) -> DataFrame:
+    """For each shard its rows and bytes, the range of sizes, and the levels of languages and sources (32 of each at most)."""
+    return placed.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("size").alias("bytes"),
+        F.min("size").alias("min_size"),
+        F.max("size").alias("max_size"),
+        F.array_sort(F.collect_set(level_of_name(F.col("lang")))).alias("lang_levels"),
+        F.array_sort(F.collect_set(level_of_name(F.col("source")))).alias("source_levels"),
     )
 
 
+def shards_for(statistics: DataFrame, lang: str | None = None, source: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """The shards that may hold rows of a language, of a source, or of sizes from one to another; other shards need not be read."""
+    keep = F.lit(True)
+    if lang is not None:
+        keep &= F.array_contains("lang_levels", level_of_name(F.lit(lang)))
+    if source is not None:
+        keep &= F.array_contains("source_levels", level_of_name(F.lit(source)))
+    if sizes is not None:
+        keep &= (F.col("min_size") <= sizes[1]) & (F.col("max_size") >= sizes[0])
+    return statistics.where(keep).select("shard")
+
+
+def write_shards(docs: DataFrame, folder: str, shards: int = 16) -> DataFrame:
+    """Writes docs as Parquet to folder, a folder a shard, rows in order of their slots; the shards' statistics."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = hilbert_shards(docs, shards, names)
+    placed.select("_hs_doc.*", "slot", "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    return shard_statistics(placed.drop("_hs_doc"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return hilbert_shards(docs).select(
