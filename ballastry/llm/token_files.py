@@ -10,21 +10,23 @@ File: magic, blocks, footer (doc ids int64, id counts uint32, block offsets uint
 (docs, docs without id, ids, blocks, block size), magic. Block: minimum uint32, width uint8,
 pad uint8, exceptions uint16, packed words uint32, exception positions uint16, high parts uint32.
 
-Encoding: the text is cut where white space follows other characters, which is always a border
-between the vocabulary's pre-tokens; each distinct piece is encoded by the tokenizer once while it
-stays in a worker's table. The table is emptied at ``MAX_PIECES`` entries.
+Encoding: the text is cut where white space follows other characters, which is a border
+between pre-tokens for a tokenizer without normalizer whose pre-tokenizer is the plain byte-level one; each distinct piece is encoded by the tokenizer once while it
+stays in a worker's table. The table is emptied at ``MAX_PIECES`` entries. Any other tokenizer encodes whole texts.
 
-Plan: one range shuffle of (doc_id, text), then one task a file. The driver learns one number a
+Plan: one range shuffle of (doc_id, text), then one task a file. Ranges are drawn by doc_id and a hash of the text, so rows without
+doc_id, or with the same one, spread over files. The driver learns one number a
 file, from which the starts follow. Files are written under another name in the shared folder and
-renamed, so a repeated task leaves the same file.
+renamed, so a repeated task leaves the same file. They are the operator's output, and stay.
 
 Defined results: a null or empty text is the end id alone. Rows without doc_id come first. Rows
-that repeat a doc_id are kept, in the order of their texts. An empty table gives no files and an
+that repeat a doc_id are kept, in the order of a hash of their texts. An empty table gives no files and an
 empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -32,7 +34,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,13 +196,22 @@ class Reader:
 _tables: dict[str, tuple] = {}
 
 
+def cut_at_spaces(tokenizer) -> bool:
+    """Whether the borders of PIECES are borders of a tokenizer's pre-tokens."""
+    parts = json.loads(tokenizer.to_str())
+    own = parts.get("pre_tokenizer") or {}
+    return parts.get("normalizer") is None and own.get("type") == "ByteLevel" and not own.get("add_prefix_space") and own.get("use_regex", True)
+
+
 def piece_encoder(vocabulary: str):
     """texts -> (id counts, ids as little-endian bytes), with a table of pieces that lasts as long as the worker."""
     if vocabulary not in _tables:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        _tables[vocabulary] = (tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], {})
+        # what the texts that are encoded whole contain: an added token, or anything
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if cut_at_spaces(tokenizer) else [""]
+        _tables[vocabulary] = (tokenizer, added, {})
     tokenizer, added, table_ = _tables[vocabulary]
 
     def as_bytes(encodings) -> list[bytes]:
@@ -234,7 +245,7 @@ def _filesystem(uri: str):
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> list[tuple[str, int]]:
     """Writes doc_id and text of docs to files in folder; (path, ids) of each file in order."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -245,26 +256,27 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> list[tup
         own = f"{name}.{context.attemptNumber()}-{uuid.uuid4().hex}"
         try:
             for batch in batches:
-                for k in range(0, len(batch), 500):
-                    part = batch.iloc[k : k + 500]
-                    counts, data = encode([t or "" for t in part["text"]])
+                for k in range(0, batch.num_rows, 500):
+                    part = batch.slice(k, 500)
+                    counts, data = encode([t or "" for t in part["text"].to_pylist()])
                     if writer is None:
                         files.create_dir(path, recursive=True)
                         writer = Writer(files.open_output_stream(own))
-                    writer.add([None if pd.isna(d) else int(d) for d in part["doc_id"]], counts, np.frombuffer(data, "<u4"))
+                    writer.add(part["doc_id"].to_pylist(), counts, np.frombuffer(data, "<u4"))
             if writer is not None:
                 writer.close()
                 writer.stream.close()
                 files.move(own, name)
-                yield pd.DataFrame({"part": [context.partitionId()], "n": [writer.n]})
+                yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([writer.n], pa.int64())], ["part", "n"])
         except BaseException:
             if writer is not None:
                 writer.stream.close()
                 files.delete_file(own)
             raise
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = ordered.mapInPandas(write, "part int, n long").collect()  # a row a file
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    done = ordered.mapInArrow(write, "part int, n long").collect()  # a row a file
     return [(f"part-{r['part']:06d}.pfor", r["n"]) for r in sorted(done, key=lambda r: r["part"])]
 
 
@@ -275,21 +287,21 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
         starts.append((name, total))
         total += n
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _filesystem(folder)
         for batch in batches:
-            for k in batch["id"]:
+            for k in batch["id"].to_pylist():
                 name, before = starts[k]
                 with fs.open_input_file(f"{path}/{name}") as stream:
                     rows = [(d, before + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, a, ids in Reader(stream).documents()]
                 for i in range(0, len(rows), 10_000):
-                    out = pd.DataFrame(rows[i : i + 10_000], columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                    yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                    columns = zip(*rows[i : i + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not starts:
         return spark.createDataFrame([], schema)
-    return spark.range(0, len(starts), 1, len(starts)).mapInPandas(read, schema)
+    return spark.range(0, len(starts), 1, len(starts)).mapInArrow(read, schema)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
