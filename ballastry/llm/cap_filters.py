@@ -1,21 +1,22 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filter directions form a random product code: a vector is rotated by random signs and Hadamard steps,
-cut into ``PARTS`` parts, and each part has a random code; a filter is one code word from each part,
+Filter directions form random product codes: space is rotated by random signs and Hadamard steps,
+cut into two parts, and each part has a random code; a filter is one code word from each part,
 and its direction their concatenation. A vector belongs to all filters whose inner product with it
 exceeds ``alpha``. They are found by list decoding: the code words of each part are sorted by their
-product, and only prefixes that can still exceed alpha are extended. Vectors that share a filter are
-compared in double precision.
+product, and only leading runs that can still exceed alpha are combined. Several codes, each with its own rotation,
+share the filters among them, so that a vector that lies badly for one of them is well placed for others.
+Vectors that share a filter are compared in double precision.
 
-The code grows with the table: alpha is set so that a filter holds about ``LOAD`` random vectors, and
-the number of code words so that two vectors at the threshold share ``SHARED`` filters on average. Recall is
+The codes grow with the table: alpha is set so that a filter holds about ``LOAD`` random vectors, and
+the number of filters so that two vectors at the threshold share ``SHARED`` of them on average. Recall is
 measured against brute force in the tests.
 
-Plan: equal vectors are one class with a count. A row (filter, class, vector, the class's filter
-list) is shuffled for each filter of a class. Filters with more than ``BLOCK`` classes are split:
+Plan: equal vectors are one class with a count. Each class is decoded once, and kept with its filters. A row (filter,
+class, vector, the class's filters) is shuffled for each filter of a class. Filters with more than ``BLOCK`` classes are split:
 classes fall into chunks by hash, and every pair of chunks is a task group of its own, so no group has
 more than about 2 * BLOCK rows. A pair that shares several filters is counted in the smallest of them
-only. Groups give link counts by class and a spanning forest of their links, never the pairs: a tight
+only. Groups are compared in stripes, and give link counts by class and a spanning forest of their links, never the pairs: a tight
 group of m vectors costs m rows, not m * m.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,67 +41,59 @@ from ballastry.llm.common import checkpointed, table
 from ballastry.llm.components import components
 
 THRESHOLD = 0.9
-LOAD = 100
-SHARED = 16.0
-ROTATIONS = 8
-PARTS = 2
-BLOCK = 1024
+LOAD = 500
+SHARED = 6.0
+MAX_TAIL = 0.25
+ROTATIONS = 128
+BLOCK = 2048
+STRIPE = 512
 SEED = 5
 
 
 class ProductCode:
-    """Seeded product codes for vectors of one length, sized for n vectors.
-
-    ``ROTATIONS`` codes, each with its own rotation, share the filters among them, so that a vector that
-    lies badly for one of them is well placed for others.
-    """
+    """Seeded product codes for vectors of one length, sized for n vectors."""
 
     def __init__(self, dim: int, n: int, threshold: float = THRESHOLD) -> None:
-        self.size = max(PARTS, 1 << (dim - 1).bit_length())
-        tail = min(0.02, LOAD / max(n, 1))
-        self.alpha = NormalDist().inv_cdf(1 - tail)
-        self.words = max(2, math.ceil((SHARED / ROTATIONS / _joint_tail(self.alpha, threshold)) ** (1 / PARTS)))
+        size = max(2, 1 << (dim - 1).bit_length())
+        self.alpha = NormalDist().inv_cdf(1 - min(MAX_TAIL, LOAD / max(n, 1)))
+        wanted = SHARED / _joint_tail(self.alpha, threshold)
+        self.words = max(2, math.ceil(math.sqrt(wanted / ROTATIONS)))
+        self.rotations = math.ceil(wanted / self.words**2)
         rng = np.random.default_rng([SEED, dim])
-        self.signs = rng.choice([-1.0, 1.0], size=(ROTATIONS, 3, self.size))
-        self.kind = "<u4" if ROTATIONS * self.words**PARTS < 2**32 else "<i8"
-        self.code = rng.standard_normal((ROTATIONS, PARTS, self.words, self.size // PARTS))
-
-    def rotated(self, x: np.ndarray, rotation: int) -> np.ndarray:
-        y = np.zeros((len(x), self.size))
-        y[:, : x.shape[1]] = x
-        for signs in self.signs[rotation]:
-            y = y * signs
-            step = 1
-            while step < self.size:
-                y = y.reshape(len(x), -1, 2, step)
-                y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), -1)
-                step *= 2
-            y /= math.sqrt(self.size)
-        return y
-
-    def filters(self, x: np.ndarray) -> list[np.ndarray]:
-        """The sorted filter numbers of each unit vector."""
-        lists = [self._decode(x, r) for r in range(ROTATIONS)]
-        return [np.concatenate(own) for own in zip(*lists, strict=True)]
-
-    def _decode(self, x: np.ndarray, rotation: int) -> list[np.ndarray]:
-        y = self.rotated(x, rotation).reshape(len(x), PARTS, -1)
-        products = np.einsum("npd,pwd->npw", y, self.code[rotation])
-        order = np.argsort(-products, axis=2)
-        ranked = np.take_along_axis(products, order, axis=2)
-        best_rest = np.concatenate([np.cumsum(ranked[:, ::-1, 0], axis=1)[:, ::-1], np.zeros((len(x), 1))], axis=1)
-        out = []
-        for k in range(len(x)):
-            sums, names = np.zeros(1), np.full(1, rotation, dtype=np.int64)
-            for p in range(PARTS):
-                need = self.alpha - best_rest[k, p + 1]
-                # words are sorted, so each prefix takes a leading run of them
-                runs = np.searchsorted(-ranked[k, p], sums - need, side="right")
-                where = np.repeat(np.arange(len(sums)), runs)
-                word = np.arange(len(where)) - np.repeat(np.cumsum(runs) - runs, runs)
-                sums, names = sums[where] + ranked[k, p, word], names[where] * self.words + order[k, p, word]
-            out.append(np.sort(names))
-        return out
+        half, directions = size // 2, []
+        for _ in range(self.rotations):
+            turn = np.eye(dim, size)
+            for signs in rng.choice([-1.0, 1.0], size=(3, size)):
+                turn = _hadamard(turn * signs)
+            code = rng.standard_normal((2, self.words, half))
+            directions += [turn[:, :half] @ code[0].T, turn[:, half:] @ code[1].T]
+        #: The code words of every rotation and part as directions of the vectors' own space.
+        self.directions = np.concatenate(directions, axis=1)
+
+    def filters(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The filter numbers of all unit vectors, one vector after the other and sorted, and how many each has."""
+        products = (x @ self.directions).reshape(len(x), self.rotations, 2, self.words)
+        order = np.argsort(-products, axis=3)
+        ranked = np.take_along_axis(products, order, axis=3)
+        rows, names = [], []
+        for r in range(self.rotations):
+            one, two = ranked[:, r, 0], ranked[:, r, 1]
+            a = int((one + two[:, :1] >= self.alpha).sum(axis=1).max(initial=0))
+            b = int((two + one[:, :1] >= self.alpha).sum(axis=1).max(initial=0))
+            row, i, j = np.nonzero(one[:, :a, None] + two[:, None, :b] >= self.alpha)
+            rows.append(row)
+            names.append((r * self.words + order[row, r, 0, i]) * self.words + order[row, r, 1, j])
+        row, name = np.concatenate(rows), np.concatenate(names)
+        return name[np.lexsort((name, row))], np.bincount(row, minlength=len(x))
+
+
+def _hadamard(y: np.ndarray) -> np.ndarray:
+    n, step = y.shape[1], 1
+    while step < n:
+        y = y.reshape(len(y), -1, 2, step)
+        y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(y), -1)
+        step *= 2
+    return y / math.sqrt(n)
 
 
 def _joint_tail(alpha: float, rho: float) -> float:
@@ -118,28 +111,28 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _filter_rows(sizes: dict[int, int], threshold: float):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = {d: ProductCode(d, n, threshold) for d, n in sizes.items()}
+def _vectors(column: pa.ListArray, dim: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _decoded(sizes: dict[int, int], threshold: float):
+    """Adds the list of filters; batches may mix vectors of several lengths."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[int, ProductCode] = {}
         for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                for k in range(0, len(part), 256):
-                    own = part.iloc[k : k + 256]
-                    x = _unit(np.stack(own["embedding"].to_numpy()))
-                    lists = codes[dim].filters(x)
-                    n = [len(f) for f in lists]
-                    kind = codes[dim].kind
-                    at = np.repeat(np.arange(len(own)), n)
-                    yield pd.DataFrame(
-                        {
-                            "dim": dim,
-                            "filter": np.concatenate(lists),
-                            "cls": own["cls"].to_numpy()[at],
-                            "n": own["n"].to_numpy()[at],
-                            "vector": own["embedding"].to_numpy()[at],
-                            "filters": np.array([f.astype(kind).tobytes() for f in lists], dtype=object)[at],
-                        }
-                    )
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in codes:
+                    codes[dim] = ProductCode(dim, sizes[dim], threshold)
+                at = np.flatnonzero(dims == dim)
+                for k in range(0, len(at), 256):
+                    part = batch.take(pa.array(at[k : k + 256]))
+                    names, counts = codes[dim].filters(_unit(_vectors(part["embedding"], dim)))
+                    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(names.astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "filters"])
 
     return rows
 
@@ -167,70 +160,92 @@ def _first_shared(a: list[np.ndarray], rows: np.ndarray, b: list[np.ndarray], co
     return ok
 
 
-def _links_in(group: pd.DataFrame, threshold: float, kinds: dict[int, str]) -> pd.DataFrame | None:
-    """Link counts, and a spanning forest, of one filter's group (or of one pair of its chunks)."""
-    group = group.drop_duplicates("cls")
-    if len(group) < 2:
-        return None
-    here, i, j = int(group["filter"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    side = group["chunk"].to_numpy()
-    one = np.flatnonzero(side == i)
-    two = one if i == j else np.flatnonzero(side == j)
-    x = _unit(np.stack(group["vector"].to_numpy()))
-    product = x[one] @ x[two].T
-    near = product >= threshold - 1e-12
-    if i == j:
-        near = np.triu(near, 1)
-    r, c = np.nonzero(near)
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of x and y with a cosine of at least threshold; both hold unit vectors."""
+    product = x @ y.T
+    r, c = np.nonzero(product >= threshold - 1e-12)
     exact = np.ones(len(r), dtype=bool)
     close = np.flatnonzero(product[r, c] <= threshold + 1e-12)  # the order of summation decides no other pair
     for k in range(0, len(close), 1 << 14):
         at = close[k : k + (1 << 14)]
-        exact[at] = np.einsum("nd,nd->n", x[one[r[at]]], x[two[c[at]]]) >= threshold
-    r, c = r[exact], c[exact]
-    if not len(r):
-        return None
-    lists = [np.frombuffer(b, kinds[group["dim"].iloc[0]]) for b in group["filters"]]
-    mine = _first_shared([lists[k] for k in one], r, [lists[k] for k in two], c, here)
-    r, c = one[r[mine]], two[c[mine]]
-    if not len(r):
-        return None
-    n = group["n"].to_numpy()
-    links = np.bincount(r, weights=n[c], minlength=len(n)) + np.bincount(c, weights=n[r], minlength=len(n))
-    root = np.arange(len(n))
-    while True:  # labels fall to the smallest of each component
-        least = root.copy()
-        np.minimum.at(least, r, root[c])
-        np.minimum.at(least, c, root[r])
-        least = least[least]
-        if np.array_equal(least, root):
-            break
-        root = least
-    has = np.flatnonzero(links > 0)
-    cls = group["cls"].to_numpy()
-    return pd.DataFrame({"cls": cls[has], "links": links[has].astype(np.int64), "other": cls[root[has]]})
-
-
-def _linked(sizes: dict[int, int], threshold: float):
-    """Runs over rows sorted by group; a group spans batches, and is held alone."""
+        exact[at] = np.einsum("nd,nd->n", x[r[at]], y[c[at]]) >= threshold
+    return r[exact], c[exact]
+
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        kinds = {d: ProductCode(d, n, threshold).kind for d, n in sizes.items()}
-        key = ["dim", "filter", "i", "j"]
+def _joined(root: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The roots after the pairs' components are joined; each is the smallest row of its component."""
+    while True:
+        a, b = root[r], root[c]
+        if np.array_equal(a, b):
+            return root
+        root, least = root.copy(), np.minimum(a, b)
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        while not np.array_equal(root, nearer := root[root]):
+            root = nearer
 
-        def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            found = [f for _, g in frame.groupby(key, sort=False) if len(g) > 1 and (f := _links_in(g, threshold, kinds)) is not None]
-            if found:
-                yield pd.concat(found)
 
+def _links_in(here: int, x: np.ndarray, n: np.ndarray, lists: list[np.ndarray], side: np.ndarray, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts and roots, by rows, of one filter's group (or of one pair of its chunks)."""
+    one = np.flatnonzero(side == i)
+    two = one if i == j else np.flatnonzero(side == j)
+    links, root = np.zeros(len(n), dtype=np.int64), np.arange(len(n))
+    for k in range(0, len(one), STRIPE):
+        rows = one[k : k + STRIPE]
+        r, c = linked(x[rows], x[two], threshold)
+        if i == j:
+            later = c > r + k
+            r, c = r[later], c[later]
+        if not len(r):
+            continue
+        (a, at), (b, beside) = np.unique(r, return_inverse=True), np.unique(c, return_inverse=True)
+        mine = _first_shared([lists[m] for m in rows[a]], at, [lists[m] for m in two[b]], beside, here)
+        r, c = rows[r[mine]], two[c[mine]]
+        links += np.bincount(r, weights=n[c], minlength=len(n)).astype(np.int64) + np.bincount(c, weights=n[r], minlength=len(n)).astype(np.int64)
+        root = _joined(root, r, c)
+    return links, root
+
+
+KEY = ["dim", "filter", "i", "j"]
+
+
+def _linked(threshold: float):
+    """Runs over rows sorted by group; a group spans batches, and is held alone."""
+
+    def found(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(group).combine_chunks()
+        if rows.num_rows < 2:
+            return
+        dim, here, i, j = (rows[c][0].as_py() for c in KEY)
+        own = rows.to_batches()[0]
+        ends = own["filters"].offsets.to_numpy()
+        names = own["filters"].values.to_numpy()
+        lists = [names[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        links, root = _links_in(here, _unit(_vectors(own["vector"], dim)), own["n"].to_numpy(), lists, own["chunk"].to_numpy(), i, j, threshold)
+        has = np.flatnonzero(links > 0)
+        if len(has):
+            yield pa.RecordBatch.from_arrays([own["cls"].take(pa.array(has)), pa.array(links[has]), own["cls"].take(pa.array(root[has]))], ["cls", "links", "other"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (frame[key] == frame[key].iloc[-1]).all(axis=1).to_numpy()
-            rest = frame[last]
-            yield from done(frame[~last])
-        if rest is not None:
-            yield from done(rest)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in KEY], axis=1)
+            starts = np.flatnonzero(np.concatenate([[last is None or not np.array_equal(keys[0], last)], (keys[1:] != keys[:-1]).any(axis=1)]))
+            cuts = [0, *starts[starts > 0].tolist(), batch.num_rows]
+            if held and len(starts) and starts[0] == 0:
+                yield from found(held)
+                held = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a > 0:
+                    yield from found(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+            last = keys[-1]
+        if held:
+            yield from found(held)
 
     return rows
 
@@ -240,22 +255,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     finite = F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
     fit = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
-    named = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("cls", F.when(fit, F.xxhash64("embedding", F.size("embedding"))))
+    name = F.struct(F.xxhash64("embedding", F.size("embedding")).alias("h"), F.xxhash64(F.lit(SEED), "embedding").alias("g"))
+    named = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("cls", F.when(fit, name))
     classes = named.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     classes = checkpointed(classes.withColumn("dim", F.size("embedding")))
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row a length
-    rows = classes.select("dim", "cls", "n", "embedding").mapInPandas(
-        _filter_rows(sizes, threshold), f"dim int, filter long, cls long, n long, vector array<{kind}>, filters binary"
-    )
-    heavy = classes.select("dim", "cls", "n", "embedding").mapInPandas(_filter_names(sizes, threshold), "dim int, filter long")
-    heavy = heavy.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    schema = f"dim int, cls struct<h:bigint,g:bigint>, n long, embedding array<{kind}>, filters array<bigint>"
+    decoded = checkpointed(classes.select("dim", "cls", "n", "embedding").mapInArrow(_decoded(sizes, threshold), schema))
+    heavy = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
     heavy = heavy.select("dim", "filter", F.ceil(F.col("m") / block).cast("int").alias("chunks"))
+    rows = decoded.select("dim", F.explode("filters").alias("filter"), "cls", "n", F.col("embedding").alias("vector"), "filters")
     rows = rows.join(heavy, ["dim", "filter"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.hash("cls"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).drop("o", "chunks")
-    key = ["dim", "filter", "i", "j"]
-    found = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_linked(sizes, threshold), "cls long, links long, other long")
+    found = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_linked(threshold), "cls struct<h:bigint,g:bigint>, links long, other struct<h:bigint,g:bigint>")
     found = checkpointed(found)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")).where("a <> b").distinct())
@@ -269,18 +283,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     )
 
 
-def _filter_names(sizes: dict[int, int], threshold: float):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = {d: ProductCode(d, n, threshold) for d, n in sizes.items()}
-        for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                for k in range(0, len(part), 256):
-                    x = _unit(np.stack(part["embedding"].iloc[k : k + 256].to_numpy()))
-                    yield pd.DataFrame({"dim": dim, "filter": np.concatenate(codes[dim].filters(x))})
-
-    return rows
-
-
 def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9::DOUBLE),
+reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT reach.d, link.b FROM reach JOIN link ON reach.r = link.a),
+c AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON d = vec_id LEFT JOIN n ON a = vec_id
+"""

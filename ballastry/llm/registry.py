@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ballastry.llm.cap_filters import op10_cap_filters
+from ballastry.llm.cap_filters import OP10_SQL, op10_cap_filters
 from ballastry.llm.decontaminate import OP1_SQL, op1_decontaminate
 from ballastry.llm.hilbert_shards import op8_hilbert_shards
 from ballastry.llm.html_text import op5_html_text
@@ -30,4 +30,5 @@ ORACLES = {
     "op2_url_reputation": OP2_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op10_cap_filters": OP10_SQL,
 }

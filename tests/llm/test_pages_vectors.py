@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 from ballastry.llm import cap_filters, html_text, url_reputation
+from compare import differences
 
 
 def brute(vectors, threshold=0.9):
@@ -54,27 +54,53 @@ def test_cap_filter_recall(spark):
     assert sum(got.values()) >= 0.9 * sum(links)
 
 
+def test_cap_filters_match_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert differences(cap_filters.op10_cap_filters(spark, sf), cap_filters.OP10_SQL, sf) == []
+
+
+def test_cap_filter_recall_on_many_vectors(spark):
+    """Pairs next to the threshold among 50,000 vectors; ids divisible by 100 are compared with all rows."""
+    rng, n, dim = np.random.default_rng(9), 50_000, 64
+    x = rng.standard_normal((n, dim))
+    for k in range(0, n, 100):  # 1 to 3 rows near every hundredth, from cosine 0.9 on
+        x[k] /= np.linalg.norm(x[k])
+        for j in range(1, 1 + rng.integers(1, 4)):
+            side = rng.standard_normal(dim)
+            side -= (side @ x[k]) * x[k]
+            cosine = rng.uniform(0.9, 0.93)
+            x[k + j] = cosine * x[k] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    x = x.astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = cap_filters.near_duplicates(table).toPandas().set_index("vec_id")["n_links"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit[::100] @ unit.T >= 0.9).sum(axis=1) - 1
+    found = got.loc[::100].to_numpy()
+    assert near.sum() > 800 and (found <= near).all()
+    assert found.sum() >= 0.97 * near.sum()
+
+
 def test_pairs_below_the_threshold_do_not_link_in_large_blocks():
     below = 0.9 - 5e-13
-    for copies in (5, 460):  # 460 copies make 105,570 pairs of their own
-        vectors = [[1.0, 0.0]] * copies + [[below, float(np.sqrt(1 - below * below))]]
-        rows = {"cls": range(copies + 1), "n": 1, "dim": 2, "filter": 7, "i": 0, "j": 0, "chunk": 0, "filters": np.array([7], dtype=np.int64).tobytes()}
-        got = cap_filters._links_in(pd.DataFrame(rows | {"vector": vectors}), 0.9, {2: "int64"}).set_index("cls")["links"].to_dict()
-        assert got == dict.fromkeys(range(copies), copies - 1)
+    for copies in (5, 460, 1100):  # 1,100 copies fill more than two stripes
+        x = np.array([[1.0, 0.0]] * copies + [[below, float(np.sqrt(1 - below * below))]])
+        n, side = np.ones(copies + 1, dtype=np.int64), np.zeros(copies + 1, dtype=np.int32)
+        links, root = cap_filters._links_in(7, x, n, [np.array([7])] * (copies + 1), side, 0, 0, 0.9)
+        assert links.tolist() == [copies - 1] * copies + [0]
+        assert root.tolist() == [0] * copies + [copies]
 
 
 def test_list_decoding_finds_all_filters():
-    code = cap_filters.ProductCode(16, 10_000)
-    x = np.random.default_rng(2).standard_normal((5, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    for k, got in enumerate(code.filters(x)):
-        want = []
-        for r in range(cap_filters.ROTATIONS):
-            y = code.rotated(x[k : k + 1], r).reshape(cap_filters.PARTS, -1)
-            a, b = (code.code[r, p] @ y[p] for p in range(2))
-            i, j = np.nonzero(a[:, None] + b[None, :] >= code.alpha)
-            want += [(r * code.words + p) * code.words + q for p, q in zip(i, j, strict=True)]
-        assert sorted(got) == sorted(want)
+    for n in (100, 10_000, 3_000_000):
+        code = cap_filters.ProductCode(16, n)
+        x = np.random.default_rng(2).standard_normal((5, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        names, counts = code.filters(x)
+        products = (x @ code.directions).reshape(5, code.rotations, 2, code.words)
+        ends = np.cumsum(counts)
+        for k in range(5):
+            r, i, j = np.nonzero(products[k, :, 0, :, None] + products[k, :, 1, None, :] >= code.alpha)
+            assert names[ends[k] - counts[k] : ends[k]].tolist() == sorted(((r * code.words + i) * code.words + j).tolist())
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
