@@ -41,6 +41,19 @@ def normal_overlay(series: DataFrame, points: int = 100) -> DataFrame:
     return at.withColumn("x", x).select("strategy", "k", "x", (F.exp(-z * z / 2) / (F.col("sd") * F.sqrt(2 * F.pi()))).alias("pdf"))
 
 
+def density(values: DataFrame, points: int = 100) -> DataFrame:
+    """(strategy, k, x, density): a Gaussian kernel density of (strategy, value), on points from 3 bandwidths below the
+    least value to 3 above the largest. The bandwidth is the sample deviation times n ** -0.2."""
+    h = F.stddev_samp("value") * F.pow(F.count(F.lit(1)), F.lit(-0.2))
+    ends = values.groupBy("strategy").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), h.alias("h"), F.count(F.lit(1)).alias("n"))
+    ends = ends.withColumn("lo", F.col("lo") - 3 * F.col("h")).withColumn("hi", F.col("hi") + 3 * F.col("h"))
+    at = values.join(ends, "strategy").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    at = at.withColumn("x", F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1))
+    z = F.try_divide(F.col("x") - F.col("value"), F.col("h"))
+    summed = at.groupBy("strategy", "k", "x", "n", "h").agg(F.sum(F.exp(-z * z / 2)).alias("s"))
+    return summed.select("strategy", "k", "x", F.try_divide("s", F.col("n") * F.col("h") * F.sqrt(2 * F.pi())).alias("density"))
+
+
 def top_weights(weights: DataFrame, k: int = 15) -> DataFrame:
     """(strategy, rank, symbol, weight, label) of the largest weights over 0.001; the first three have a label."""
     rank = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("weight"), "symbol")).cast("long")
@@ -93,14 +106,6 @@ def frontier_ends(frontier: DataFrame, keys: list[str] | None = None) -> DataFra
     return frontier.groupBy(*keys or []).agg(F.min_by("portfolio", F.struct(-F.col("sharpe"), "portfolio")).alias("max_sharpe"), F.min_by("portfolio", F.struct("vol", "portfolio")).alias("min_vol"))
 
 
-def sampled_eigenvalues(cov: DataFrame, sizes: list[int]) -> DataFrame:
-    """(period: the sample's size, rank, value) for samples of the symbols with the smallest md5, by size."""
-    symbols = cov.where("i = j").select(F.col("i").alias("symbol")).withColumn("order", F.row_number().over(Window.orderBy(F.md5("symbol"))))
-    sized = symbols.select("symbol", "order", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("period")).where("order <= period")
-    a, b = sized.select("period", F.col("symbol").alias("i")), sized.select("period", F.col("symbol").alias("j"))
-    return kernels.eigenvalues_by_group(cov.drop("period").join(a, "i").join(b, ["period", "j"]).select("period", "i", "j", "cov"))
-
-
 def sampled_eigenvalues_by_period(cov: DataFrame, sizes: list[int]) -> DataFrame:
     """(period, size, rank, value) for samples of each period's symbols with the smallest md5, and for all its symbols."""
     by_md5 = Window.partitionBy("period").orderBy(F.md5("symbol"))

@@ -33,26 +33,28 @@ def distances(cov: np.ndarray) -> np.ndarray:
 def single_linkage(dist: np.ndarray) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, distance, size). Leaves are 0..n-1 and merge k is n + k; left is the smaller id.
 
-    Of equal distances the pair with the smaller ids merges first.
+    Of equal distances the pair with the smaller ids merges first. Each merge takes one pass over the clusters.
     """
     n = len(dist)
-    alive = {k: k for k in range(n)}  # cluster id -> row
     d = dist.copy().astype(float)
     np.fill_diagonal(d, np.inf)
-    size, out = dict.fromkeys(range(n), 1), []
+    ids, size, out = np.arange(n), np.ones(n, dtype=int), []  # by row; a merged cluster lives on in one row
+    alive, near = np.ones(n, dtype=bool), d.min(axis=1) if n else np.empty(0)
     for k in range(n - 1):
-        ids = sorted(alive)
-        rows = [alive[c] for c in ids]
-        sub = d[np.ix_(rows, rows)]
-        a, b = divmod(int(np.argmin(np.where(np.triu(np.ones_like(sub), 1) > 0, sub, np.inf))), len(ids))
-        left, right = ids[a], ids[b]
-        x, y = alive.pop(left), alive.pop(right)
-        size[n + k] = size[left] + size[right]
-        out.append((left, right, float(d[x, y]), size[n + k]))
+        least = near[alive].min()
+        tied = np.flatnonzero(alive & (near == least))
+        x = tied[np.argmin(ids[tied])]
+        tied = np.flatnonzero(alive & (d[x] == least))
+        y = tied[np.argmin(ids[tied])]
+        size[x] += size[y]
+        out.append((int(ids[x]), int(ids[y]), float(least), int(size[x])))
         d[x] = np.minimum(d[x], d[y])
         d[:, x] = d[x]
         d[x, x] = np.inf
-        alive[n + k] = x
+        alive[y] = False
+        d[y], d[:, y] = np.inf, np.inf
+        # the nearest distances of other clusters stay, for a cluster that was near is now part of x
+        near[x], ids[x] = d[x].min(), n + k
     return out
 
 

@@ -47,9 +47,13 @@ def second_order_distance(corr: DataFrame) -> DataFrame:
     return both.groupBy("period", "i", "j").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("dist2"))
 
 
-def quadratic(weights: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., var): w' cov w of each weight vector; keys hold period."""
+def quadratic(weights: DataFrame, cov: DataFrame, keys: list[str], columns: tuple[str, ...] = ("weight",)) -> DataFrame:
+    """(keys.., var or <column>_var): w' cov w of each weight vector; keys hold period.
+
+    Covariances meet the weights once, whatever the number of weight columns: cov w first, then w' (cov w).
+    """
     full = both_ways(cov)
-    a = weights.select(*keys, F.col("symbol").alias("i"), F.col("weight").alias("wi"))
-    b = weights.select(*keys, F.col("symbol").alias("j"), F.col("weight").alias("wj"))
-    return a.join(b, keys).join(full, ["period", "i", "j"]).groupBy(*keys).agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("var"))
+    b = weights.select(*keys, F.col("symbol").alias("j"), *columns)
+    inner = full.join(b, ["period", "j"]).groupBy(*keys, F.col("i").alias("symbol")).agg(*[F.sum(F.col(c) * F.col("cov")).alias(f"_cov_{c}") for c in columns])
+    names = ["var"] if columns == ("weight",) else [f"{c}_var" for c in columns]
+    return weights.join(inner, [*keys, "symbol"]).groupBy(*keys).agg(*[F.sum(F.col(c) * F.col(f"_cov_{c}")).alias(n) for c, n in zip(columns, names, strict=True)])

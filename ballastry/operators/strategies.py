@@ -38,6 +38,7 @@ class Market:
 
     def __init__(self, px: DataFrame, rets: DataFrame, windows: Windows) -> None:
         self.px, self.rets, self.windows = px, rets, windows
+        self._scores: dict[int, DataFrame] = {}
 
     @cached_property
     def train(self) -> DataFrame:
@@ -65,7 +66,12 @@ class Market:
         return (t > hi - rows - 1) & (t < hi)
 
     def scores(self, rows: int = 21) -> DataFrame:
-        """(period, symbol, score, sd): momentum, and the deviation over the whole window, of the universe."""
+        """(period, symbol, score, sd): momentum, and the deviation over the whole window, of the universe; kept, as four strategies read it."""
+        if rows not in self._scores:
+            self._scores[rows] = self._scored(rows).persist()
+        return self._scores[rows]
+
+    def _scored(self, rows: int) -> DataFrame:
         return (
             self.train.groupBy("period", "symbol")
             .agg(F.count("ret").alias("k"), compounded(F.when(self.formation(rows), F.col("ret"))).alias("score"), F.stddev_samp("ret").alias("sd"))

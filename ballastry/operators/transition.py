@@ -27,33 +27,37 @@ def turnover_union(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, keys, "full_outer").groupBy("strategy", "period").agg(F.sum(change).alias("turnover"))
 
 
-def aligned(weights: DataFrame, universe: DataFrame) -> DataFrame:
-    """weights on the training universe: missing ones are 0, others are left out."""
-    strategies = weights.select("strategy", "period").distinct()
-    return universe.join(strategies, "period").join(weights, ["strategy", "period", "symbol"], "left").select("strategy", "period", "symbol", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-
-
-def portfolio_metrics(weights: DataFrame, m: Market, prefix: str) -> DataFrame:
-    """(strategy, period, <prefix>_return, _vol, _sharpe) of aligned weights, annualised over the training window."""
-    means = m.train.groupBy("period", "symbol").agg(F.avg("ret").alias("mu"))
-    gain = weights.join(means, ["period", "symbol"]).groupBy("strategy", "period").agg((F.sum(F.col("mu") * F.col("weight")) * YEAR).alias("er"))
-    var = quadratic(weights, m.cov, ["strategy", "period"])
-    vol = F.sqrt(F.greatest(F.col("var"), F.lit(0.0)) * YEAR)
-    out = gain.join(var, ["strategy", "period"]).withColumn("vol", vol)
-    return out.select("strategy", "period", F.col("er").alias(f"{prefix}_return"), F.col("vol").alias(f"{prefix}_vol"), F.when(F.col("vol") > 0, F.try_divide("er", "vol")).otherwise(0.0).alias(f"{prefix}_sharpe"))
+def aligned(old: DataFrame, new: DataFrame, universe: DataFrame) -> DataFrame:
+    """(strategy, period, symbol, c, p): old and new weights on the training universe; missing ones are 0, others are left out."""
+    keys = ["strategy", "period", "symbol"]
+    strategies = new.select("strategy", "period").distinct()
+    rows = universe.join(strategies, "period").join(old.withColumnRenamed("weight", "c"), keys, "left").join(new.withColumnRenamed("weight", "p"), keys, "left")
+    return rows.select(*keys, F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def costs(old: DataFrame, new: DataFrame, universe: DataFrame, rate: float = RATE) -> DataFrame:
     """(strategy, period, turnover, cost) on the training universe."""
-    keys = ["strategy", "period", "symbol"]
-    a, b = aligned(old, universe).withColumnRenamed("weight", "a"), aligned(new, universe).withColumnRenamed("weight", "b")
-    return a.join(b, keys).groupBy("strategy", "period").agg(F.sum(F.abs(F.col("b") - F.col("a"))).alias("turnover")).withColumn("cost", F.col("turnover") * rate)
+    change = F.sum(F.abs(F.col("p") - F.col("c")))
+    return aligned(old, new, universe).groupBy("strategy", "period").agg(change.alias("turnover")).withColumn("cost", F.col("turnover") * rate)
 
 
 def analyze(old: DataFrame, new: DataFrame, m: Market, rate: float = RATE, threshold: float | None = 0.001) -> DataFrame:
-    """The analysis of each change, with the portfolios as structs. Without a threshold all changes are recommended."""
-    now, then = portfolio_metrics(aligned(old, m.universe), m, "c"), portfolio_metrics(aligned(new, m.universe), m, "p")
-    joined = now.join(then, ["strategy", "period"]).join(costs(old, new, m.universe, rate), ["strategy", "period"])
+    """The analysis of each change, with the portfolios as structs. Without a threshold all changes are recommended.
+
+    Returns and volatilities are annualised over the training window.
+    """
+    both = aligned(old, new, m.universe)
+    means = m.train.groupBy("period", "symbol").agg(F.avg("ret").alias("mu"))
+    gains = both.join(means, ["period", "symbol"]).groupBy("strategy", "period").agg(
+        (F.sum(F.col("mu") * F.col("c")) * YEAR).alias("c_return"),
+        (F.sum(F.col("mu") * F.col("p")) * YEAR).alias("p_return"),
+        F.sum(F.abs(F.col("p") - F.col("c"))).alias("turnover"),
+    )
+    joined = gains.join(quadratic(both, m.cov, ["strategy", "period"], ("c", "p")), ["strategy", "period"])
+    joined = joined.withColumn("cost", F.col("turnover") * rate)
+    for k in "cp":
+        joined = joined.withColumn(f"{k}_vol", F.sqrt(F.greatest(F.col(f"{k}_var"), F.lit(0.0)) * YEAR))
+        joined = joined.withColumn(f"{k}_sharpe", F.when(F.col(f"{k}_vol") > 0, F.try_divide(f"{k}_return", f"{k}_vol")).otherwise(0.0))
     adjusted = F.when(F.col("p_vol") > 0, F.try_divide(F.col("p_return") - F.col("cost"), F.col("p_vol"))).otherwise(0.0)
     joined = joined.withColumn("adjusted", adjusted).withColumn("gain", F.col("adjusted") - F.col("c_sharpe"))
     own = lambda k: F.struct(F.col(f"{k}_return").alias("expected_return"), F.col(f"{k}_vol").alias("volatility"), F.col(f"{k}_sharpe").alias("sharpe_ratio"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballastry.operators import analysis, backtest, kernels, metrics, moments, panel, strategies, transition
@@ -78,12 +78,6 @@ def symbols_null_after_date(spark, sf_dir):
 
 @query
 def price_pivot(spark, sf_dir):
-    wide = market(spark, sf_dir).px.groupBy("d").pivot("symbol", ["Brand#1", "Brand#2", "Brand#3"]).agg(F.first("close"))
-    return rounded(wide.withColumnsRenamed({f"Brand#{k}": f"brand_{k}" for k in (1, 2, 3)}), 4)
-
-
-@query
-def price_pivot_all(spark, sf_dir):
     """The prices of all symbols, a column each."""
     wide = market(spark, sf_dir).px.groupBy("d").pivot("symbol").agg(F.first("close"))
     return rounded(wide.withColumnsRenamed({c: c.lower().replace("#", "_") for c in wide.columns}), 4)
@@ -142,12 +136,6 @@ def hrp_distance(spark, sf_dir):
 
 @query
 def second_order_distance(spark, sf_dir):
-    m = market(spark, sf_dir, periods=1)
-    return rounded(moments.second_order_distance(moments.correlations(m.cov)).where("i < j"), 7)
-
-
-@query
-def second_order_distance_all(spark, sf_dir):
     return rounded(moments.second_order_distance(moments.correlations(market(spark, sf_dir).cov)).where("i < j"), 7)
 
 
@@ -176,22 +164,17 @@ def mvp_kkt(spark, sf_dir):
 
 
 @query
-def hrp_leaf_order(spark, sf_dir):
-    return kernels.hrp_by_period(market(spark, sf_dir, periods=1).cov).select("symbol", "pos")
-
-
-@query
-def hrp_weights(spark, sf_dir):
-    return rounded(strategies.hierarchical(market(spark, sf_dir, periods=1)).select("symbol", "weight"))
+def mvp_weights(spark, sf_dir):
+    return rounded(strategies.minimum_variance(market(spark, sf_dir)))
 
 
 @query
-def hrp_leaf_order_all(spark, sf_dir):
+def hrp_leaf_order(spark, sf_dir):
     return kernels.hrp_by_period(market(spark, sf_dir).cov).select("period", "symbol", "pos")
 
 
 @query
-def hrp_weights_all(spark, sf_dir):
+def hrp_weights(spark, sf_dir):
     return rounded(strategies.hierarchical(market(spark, sf_dir)))
 
 
@@ -234,11 +217,6 @@ def csm_inverse_vol(spark, sf_dir):
 
 @query
 def tsm_growth_index(spark, sf_dir):
-    return rounded(strategies.growth_index(market(spark, sf_dir, periods=1)).select("t_idx", "symbol", "growth"))
-
-
-@query
-def tsm_growth_index_all(spark, sf_dir):
     return rounded(strategies.growth_index(market(spark, sf_dir)))
 
 
@@ -284,19 +262,15 @@ def mh_select(spark, sf_dir):
 
 @query
 def mh_weights(spark, sf_dir):
-    return rounded(strategies.momentum_hierarchical(market(spark, sf_dir, periods=1)).select("symbol", "weight"))
-
-
-@query
-def mh_weights_all(spark, sf_dir):
     return rounded(strategies.momentum_hierarchical(market(spark, sf_dir)))
 
 
 @query
 def hodl(spark, sf_dir):
+    """The first two symbols, each held alone."""
     m = market(spark, sf_dir)
-    held = strategies.hold(m, "Brand#1").withColumn("strategy", F.lit("HODL"))
-    return rounded(metrics.cumulative(backtest.static(m, held)))
+    held = [strategies.hold(m, s).withColumn("strategy", F.lit(f"HODL {s}")) for s in ("Brand#1", "Brand#10")]
+    return rounded(metrics.cumulative(backtest.static(m, held[0].unionByName(held[1]))))
 
 
 # Series and metrics
@@ -417,7 +391,13 @@ def log_growth(spark, sf_dir):
 
 @query
 def return_histogram(spark, sf_dir):
-    return rounded(analysis.histogram(series(spark, sf_dir)).drop("density"))
+    return rounded(analysis.histogram(series(spark, sf_dir)))
+
+
+@query
+def weights_kde(spark, sf_dir):
+    """The density of each strategy's weights over all periods."""
+    return rounded(analysis.density(plain(spark, sf_dir)[1].select("strategy", F.col("weight").alias("value"))).withColumn("density", F.round("density", 6)))
 
 
 @query
@@ -448,22 +428,6 @@ def heatmap_z(spark, sf_dir):
     return rounded(analysis.heatmap(backtest.dynamic_metrics(m, w)), 6)
 
 
-def _frontier(spark, sf_dir):
-    m = market(spark, sf_dir, periods=1)
-    means = m.train.join(m.universe, ["period", "symbol"], "left_semi").groupBy("symbol").agg(F.avg("ret").alias("mu"))
-    return analysis.monte_carlo(means, m.cov.drop("period"), 500)
-
-
-@query
-def monte_carlo_frontier(spark, sf_dir):
-    return rounded(_frontier(spark, sf_dir), 7)
-
-
-@query
-def frontier_argmax(spark, sf_dir):
-    return analysis.frontier_ends(_frontier(spark, sf_dir))
-
-
 def _frontiers(spark, sf_dir):
     m = market(spark, sf_dir)
     means = m.train.join(m.universe, ["period", "symbol"], "left_semi").groupBy("period", "symbol").agg(F.avg("ret").alias("mu"))
@@ -471,27 +435,32 @@ def _frontiers(spark, sf_dir):
 
 
 @query
-def monte_carlo_frontier_all(spark, sf_dir):
+def monte_carlo_frontier(spark, sf_dir):
     return rounded(_frontiers(spark, sf_dir), 7)
 
 
 @query
-def frontier_argmax_all(spark, sf_dir):
+def frontier_argmax(spark, sf_dir):
     return analysis.frontier_ends(_frontiers(spark, sf_dir), ["period"])
 
 
+def _eigenvalues(spark, sf_dir):
+    return analysis.sampled_eigenvalues_by_period(market(spark, sf_dir).cov, [2, 5, 10, 20, 30, 40])
+
+
 @query
 def eigen_invariants(spark, sf_dir):
-    """Sums of eigenvalues and of their squares by sample size: the trace and the squared norm."""
-    values = analysis.sampled_eigenvalues(market(spark, sf_dir, periods=1).cov, [2, 5, 10])
-    out = values.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("trace"), F.sum(F.col("value") * F.col("value")).alias("norm2"))
+    """By period and sample size: the sums of eigenvalues and of their squares, which are the trace and the squared norm, and whether they fall."""
+    values = _eigenvalues(spark, sf_dir).withColumn("next", F.lead("value").over(Window.partitionBy("period", "size").orderBy("rank")))
+    falls = F.min(F.coalesce(F.col("next") <= F.col("value"), F.lit(True)))
+    out = values.groupBy("period", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("trace"), F.sum(F.col("value") * F.col("value")).alias("norm2"), falls.alias("descending"))
     return rounded(out)
 
 
 @query
 def eigenvalues_all(spark, sf_dir):
     """Eigenvalues by period and sample size, the last of which is all symbols."""
-    return rounded(analysis.sampled_eigenvalues_by_period(market(spark, sf_dir).cov, [2, 5, 10, 20, 30, 40]), 10)
+    return rounded(_eigenvalues(spark, sf_dir), 10)
 
 
 # Sources

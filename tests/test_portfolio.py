@@ -197,7 +197,7 @@ def test_all_periods_against_numpy(spark):
     whole = {p: own.pivot(index="t_idx", columns="symbol", values="ret").dropna(axis=1) for p, own in rows.groupby("period")}
     whole = {p: x for p, x in whole.items() if len(x) == m.windows.train and x.shape[1] > 1}
     assert len(whole) == m.windows.periods > 1
-    got = {n: QUERIES[n + "_all"](spark, SF).toPandas() for n in ("second_order_distance", "hrp_leaf_order", "hrp_weights", "tsm_growth_index", "mh_weights", "monte_carlo_frontier", "frontier_argmax")}
+    got = {n: QUERIES[n](spark, SF).toPandas() for n in ("second_order_distance", "hrp_leaf_order", "hrp_weights", "tsm_growth_index", "mh_weights", "monte_carlo_frontier", "frontier_argmax")}
     got["eigenvalues"] = QUERIES["eigenvalues_all"](spark, SF).toPandas()
     by = {n: dict(list(df.groupby("period"))) for n, df in got.items()}
     assert all(set(own) == set(whole) for own in by.values())
@@ -240,7 +240,7 @@ def test_all_periods_against_numpy(spark):
 
 def test_pivot_of_all_symbols(spark):
     px = QUERIES["price_grid"].__globals__["market"](spark, SF).px.toPandas()
-    wide = QUERIES["price_pivot_all"](spark, SF).toPandas().set_index("d")
+    wide = QUERIES["price_pivot"](spark, SF).toPandas().set_index("d")
     want = px.assign(symbol=px["symbol"].str.lower().str.replace("#", "_")).pivot(index="d", columns="symbol", values="close")
     assert set(wide.columns) == set(want.columns) and len(wide.columns) > 3
     assert np.allclose(wide.loc[want.index, want.columns].astype(float), want.astype(float), atol=1e-4, equal_nan=True)
