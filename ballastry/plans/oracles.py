@@ -331,7 +331,11 @@ FROM e p LEFT JOIN (SELECT * FROM e WHERE event_id % 2 = 0) c ON c.coin_id = p.c
     "upsert_by_key": "WITH " + STORED + " SELECT symbol, open_time, round(close, 6) + 0.0 AS close, version FROM (SELECT * FROM k1 UNION ALL SELECT k0.* FROM k0 ANTI JOIN k1 USING (symbol, open_time))",
     "upsert_replace_symbol": "WITH " + STORED + " SELECT symbol, open_time, round(close, 6) + 0.0 AS close, version FROM (SELECT * FROM k1 UNION ALL SELECT k0.* FROM k0 WHERE symbol NOT IN (SELECT symbol FROM k1))",
     "resume_points": "WITH " + KLINES + " SELECT symbol, epoch_ms(max(open_time)) AS start FROM k GROUP BY 1",
-    "profile_summary": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS least, max({c})::VARCHAR AS largest FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+    "profile_summary": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS least, max({c})::VARCHAR AS largest, "
+        + (f"round(avg({c}), 6) + 0.0 AS mean, round(stddev_samp({c}), 6) + 0.0 AS sd, " + ", ".join(f"quantile_disc({c}, 0.{q})::DOUBLE AS q{q}" for q in (25, 50, 75)) if c.endswith("key") else "NULL::DOUBLE AS mean, NULL::DOUBLE AS sd, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50, NULL::DOUBLE AS q75")
+        + " FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    ),
     "first_slice": sql(
         f"SELECT strategy, {r8('total_return_pct', 'annualized_vol_pct', 'sharpe', 'max_drawdown_pct', digits=6)} FROM met",
         "hold AS (SELECT cal.t, coalesce(sum(r * w), 0) AS r FROM cal LEFT JOIN (SELECT ret.t, ret.r, ivp.w FROM ret JOIN ivp ON ivp.symbol = ret.symbol AND ivp.p = 0) x ON x.t = cal.t WHERE cal.t > 24 GROUP BY 1)",

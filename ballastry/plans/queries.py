@@ -539,7 +539,7 @@ def resume_points(spark, sf_dir):
 
 @query
 def profile_summary(spark, sf_dir):
-    return store.profile(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return rounded(store.profile(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")), 6)
 
 
 @query

@@ -3,8 +3,10 @@
     spark.dataSource.register(KlineSource)
     spark.read.format("klines").options(symbols="AAAUSDT,BBBUSDT", start="2023-01-01", end="2024-01-01", url=...).load()
 
-Each symbol is a partition, read page by page: the next page starts a millisecond after the last
-candle; a start at or past the end, or an empty page, ends it. ``transport`` names a function
+Symbols are dealt to ``partitions`` tasks, and the pause between calls grows with their number, so the request rate is the
+same on any cluster. A symbol is read page by page: the next page starts a millisecond after the last
+candle; a start at or past the end, or an empty page, ends it. A symbol that fails is left out, with what it
+gave before; others go on. ``transport`` names a function
 "module:function" that maps (url, parameters) to the decoded JSON; without it pages come by HTTP.
 """
 
@@ -64,8 +66,8 @@ def candle(symbol: str, row: list) -> tuple:
 
 
 class SymbolPartition(InputPartition):
-    def __init__(self, symbol: str, start: int) -> None:
-        self.symbol, self.start = symbol, start
+    def __init__(self, symbols: list[tuple[str, int]], pause: float) -> None:
+        self.symbols, self.pause = symbols, pause
 
 
 class KlineReader(DataSourceReader):
@@ -73,16 +75,22 @@ class KlineReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        """A partition a symbol; ``resume`` is a JSON object of start times in ms that replace the start."""
-        resume = json.loads(self.options.get("resume", "{}"))
-        start = millis(self.options["start"])
-        return [SymbolPartition(s.strip(), int(resume.get(s.strip(), start))) for s in self.options["symbols"].split(",") if s.strip()]
+        """Symbols and their starts; ``resume`` is a JSON object of start times in ms that replace the start."""
+        resume, o = json.loads(self.options.get("resume", "{}")), self.options
+        start = millis(o["start"])
+        symbols = [(s.strip(), int(resume.get(s.strip(), start))) for s in o["symbols"].split(",") if s.strip()]
+        n = min(max(1, int(o.get("partitions", "1"))), len(symbols))
+        return [SymbolPartition(symbols[k::n], float(o.get("pause", PAUSE)) * n) for k in range(n)]
 
     def read(self, partition: SymbolPartition) -> Iterator[tuple]:
         o = self.options
         fetch = transport(o.get("transport"))
-        for row in pages(fetch, o.get("url", ""), partition.symbol, o.get("interval", "1d"), partition.start, millis(o["end"]), float(o.get("pause", PAUSE))):
-            yield candle(partition.symbol, row)
+        for symbol, start in partition.symbols:
+            try:
+                for row in pages(fetch, o.get("url", ""), symbol, o.get("interval", "1d"), start, millis(o["end"]), partition.pause):
+                    yield candle(symbol, row)
+            except (OSError, ValueError):
+                continue  # no answer, or one that is no JSON
 
 
 class KlineSource(DataSource):
@@ -97,9 +105,9 @@ class KlineSource(DataSource):
         return KlineReader(self.options)
 
 
-def historical_klines(spark: SparkSession, symbols: list[str], interval: str, start: str, end: str, url: str, resume: dict[str, int] | None = None, transport: str | None = None, pause: float = PAUSE) -> DataFrame:
+def historical_klines(spark: SparkSession, symbols: list[str], interval: str, start: str, end: str, url: str, resume: dict[str, int] | None = None, transport: str | None = None, pause: float = PAUSE, partitions: int = 1) -> DataFrame:
     spark.dataSource.register(KlineSource)
-    options = {"symbols": ",".join(symbols), "interval": interval, "start": start, "end": end, "url": url, "resume": json.dumps(resume or {}), "pause": str(pause)}
+    options = {"symbols": ",".join(symbols), "interval": interval, "start": start, "end": end, "url": url, "resume": json.dumps(resume or {}), "pause": str(pause), "partitions": str(partitions)}
     if transport:
         options["transport"] = transport
     return spark.read.format("klines").options(**options).load()

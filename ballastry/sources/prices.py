@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ballastry.operators.panel import indexed, returns_padded
 from ballastry.schema import COIN_IDS, PRICES, STABLE_TICKERS
-from ballastry.sources.klines import transport
+from ballastry.sources.klines import transport as transport_named
 
 HISTORY = "struct<prices: array<array<double>>, market_caps: array<array<double>>, total_volumes: array<array<double>>>"
 
@@ -35,14 +35,14 @@ class PriceReader(DataSourceReader):
 
     def read(self, partition: CoinPartition) -> Iterator[tuple]:
         o = self.options
-        fetch = transport(o.get("transport"))
+        fetch = transport_named(o.get("transport"))
         for k, coin in enumerate(partition.coins):
             if k:
                 time.sleep(float(o.get("pause", "2.0")))
             try:
                 data = fetch(f"{o.get('url', '')}/{coin}", {"vs_currency": o.get("currency", "usd"), "days": o.get("days", "365"), "interval": o.get("interval", "daily")})
-            except OSError:
-                continue  # a coin that fails is left out; others go on
+            except (OSError, ValueError):
+                continue  # a coin without an answer, or with one that is no JSON, is left out; others go on
             caps, volumes = dict(map(tuple, data.get("market_caps", []))), dict(map(tuple, data.get("total_volumes", [])))
             for ms, price in data.get("prices", []):
                 yield coin, datetime.fromtimestamp(ms / 1000, UTC), float(price), caps.get(ms), volumes.get(ms)
@@ -109,9 +109,29 @@ def returns_matrix(prices: DataFrame, value: str = "price") -> DataFrame:
     return returns_padded(indexed(panel))
 
 
+def chosen_coins(listing: DataFrame, n: int = 50, exclude_stable: bool = True) -> DataFrame:
+    """The n largest coins of a listing, without stable ones."""
+    coins = top_coins(listing, n + 20)
+    return (without_stable(coins) if exclude_stable else coins).orderBy(F.desc("market_cap"), "id").limit(n)
+
+
 def dataset(listing: DataFrame, history: DataFrame, n: int = 50, exclude_stable: bool = True) -> DataFrame:
     """The returns of the n largest coins without stable ones, from a listing and a history of its coins."""
-    coins = top_coins(listing, n + 20)
-    coins = (without_stable(coins) if exclude_stable else coins).orderBy(F.desc("market_cap"), "id").limit(n)
-    chosen = history.join(coins.select(F.col("id").alias("coin_id"), "symbol"), "coin_id")
+    coins = chosen_coins(listing, n, exclude_stable).select(F.col("id").alias("coin_id"), "symbol")
+    chosen = history.join(coins, "coin_id")
     return returns_matrix(chosen.select(F.col("symbol").alias("coin_id"), "timestamp", "price"))
+
+
+def listing_of(spark: SparkSession, url: str, limit: int, currency: str = "usd", transport: str | None = None) -> DataFrame:
+    """(id, symbol, name, market_cap) of the largest coins, from one page of the interface (250 rows at most)."""
+    parameters = {"vs_currency": currency, "order": "market_cap_desc", "per_page": min(limit, 250), "page": 1}
+    rows = transport_named(transport)(url, parameters)
+    parts = [(str(r["id"]), r.get("symbol"), r.get("name"), None if r.get("market_cap") is None else float(r["market_cap"])) for r in rows]
+    return spark.createDataFrame(parts, "id string, symbol string, name string, market_cap double")
+
+
+def fetch_dataset(spark: SparkSession, listing_url: str, history_url: str, n: int = 50, days: int = 365, exclude_stable: bool = True, pause: float = 2.5, transport: str | None = None) -> DataFrame:
+    """The whole way: listing, largest coins, no stable ones, their histories, returns."""
+    listing = listing_of(spark, listing_url, n + 20, transport=transport)
+    coins = [r["id"] for r in chosen_coins(listing, n, exclude_stable).collect()]  # n rows
+    return dataset(listing, price_history(spark, coins, history_url, days, pause=pause, transport=transport), n, exclude_stable)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballastry.sources.store import upsert
+from ballastry.sources.store import merge_version, read_versioned
 
 
 def candles(ticks: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -31,31 +31,17 @@ def candles(ticks: DataFrame, width: str = "1 hour", late: str | None = None) ->
 
 
 def merge_into(path: str):
-    """A foreachBatch function that merges each batch into the Parquet table at path by (symbol, open_time)."""
+    """A foreachBatch function that merges each batch into the table at path by (symbol, open_time).
+
+    Each batch makes a version of its own number from the newest whole one before it, so a batch that is replayed,
+    or was cut off while it was written, ends the same.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(f"{path}/{_last(spark, path)}")
-            batch = upsert(stored, batch)
-        except FileNotFoundError:
-            pass
-        batch.write.mode("overwrite").parquet(f"{path}/v{batch_id:08d}")
+        merge_version(batch, path, batch_id)
 
     return write
 
 
-def _last(spark, path: str) -> str:
-    """The newest version folder under path."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
-    names = sorted(n for n in names if n.startswith("v"))
-    if not names:
-        raise FileNotFoundError(path)
-    return names[-1]
-
-
-def read_merged(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{_last(spark, path)}")
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    return read_versioned(spark, path)

@@ -91,3 +91,58 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def recorded(url, parameters):
+    """A transport: daily candles up to the end asked for, one symbol that fails, one that answers no JSON."""
+    import json as decoder
+
+    if "listing" in url:
+        return [{"id": c, "symbol": s, "name": c, "market_cap": m} for c, s, m in (("a", "aa", 9.0), ("t", "usdt", 8.0), ("b", "bb", None))]
+    if "history" in url:
+        if url.endswith("/b"):
+            decoder.loads("<html>")
+        return {"prices": [[k * DAY, 1.0 + k] for k in range(3)]}
+    if parameters["symbol"] == "BAD":
+        raise OSError("no answer")
+    if parameters["symbol"] == "HTML":
+        decoder.loads("<html>")
+    first = -(-parameters["startTime"] // DAY)
+    n = min(2, parameters["endTime"] // DAY - first)
+    return page(first * DAY, n) if n > 0 else []
+
+
+def test_collect_goes_on_where_it_ended(spark, tmp_path):
+    from ballastry.sources.collect import collect
+
+    here = f"file://{tmp_path}/k"
+    call = lambda end, mode="merge": collect(spark, here, ["A", "BAD", "HTML", "C"], "1970-01-01", end, "u", transport="test_sources:recorded", pause=0, partitions=2, mode=mode)
+    assert [r["n"] for r in call("1970-01-06").groupBy("symbol").agg(F.count("*").alias("n")).orderBy("symbol").collect()] == [5, 5]
+    rows = call("1970-01-09").collect()
+    assert len(rows) == 16 and [r["symbol"] for r in rows] == ["A"] * 8 + ["C"] * 8 and rows == sorted(rows, key=lambda r: (r["symbol"], r["open_time"]))
+    (tmp_path / "k" / "v00000007").mkdir()  # a version that a lost run left unfinished
+    assert call("1970-01-10", "replace_symbol").count() == 4  # from the last stored day on, older ones dropped
+
+
+def test_dataset_end_to_end(spark):
+    out = prices.fetch_dataset(spark, "u/listing", "u/history", n=2, pause=0, transport="test_sources:recorded").collect()
+    assert [(r["symbol"], r["ret"]) for r in sorted(out, key=lambda r: r["t_idx"])] == [("AAUSDT", 1.0), ("AAUSDT", 0.5)]
+
+
+def test_rate_is_the_same_on_any_cluster():
+    o = {"symbols": "A,B,C,D", "start": "1970-01-01", "end": "1970-01-02", "pause": "0.5"}
+    for n in (1, 3, 9):
+        parts = klines.KlineReader(o | {"partitions": str(n)}).partitions()
+        assert sum(len(p.symbols) for p in parts) == 4 and sum(1 / p.pause for p in parts) == pytest.approx(2)
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    here = f"file://{tmp_path}/m"
+    write = merge_into(here)
+    schema = "symbol string, open_time long, close double"
+    batches = [spark.createDataFrame(rows, schema) for rows in ([("A", 0, 1.0)], [("A", 0, 2.0), ("B", 0, 1.0)])]
+    write(batches[0], 0)
+    write(batches[1], 1)
+    write(batches[1], 1)
+    (tmp_path / "m" / "v00000002").mkdir()
+    assert sorted(map(tuple, read_merged(spark, here).collect())) == [("A", 0, 2.0), ("B", 0, 1.0)]
