@@ -177,3 +177,55 @@ def test_reputation_shrinks(spark):
     got = {r["page_id"]: r for r in out.collect()}
     assert got[0]["verdict"] == "block" and got[100]["verdict"] == "allow"
     assert got[100]["bad_mean"] < got[200]["bad_mean"] < got[0]["bad_mean"]
+
+
+def canonical(node):
+    """A subtree written out, where the operator takes hashes."""
+    if isinstance(node, str):
+        return " ".join(node.split())
+    named = sorted((k, v) for k, v in html_text.attributes(node).items() if k in ("class", "id", "role"))
+    return (node.tag, tuple(named), tuple(canonical(k) for k in node.kids))
+
+
+def test_templates_by_brute_force(spark):
+    """A site without telling names: what recurs decides, outside of articles and inside of them."""
+    bars = [f"<div><div>Bar {k}</div><ul><li>Start<li>Shop {k % 3}</ul></div>" for k in range(4)]
+    inside = "<div><span>Subscribe to our letter</span></div>"
+    pages = []
+    for k in range(60):
+        body = f"<p>Own words of page {k}.</p><p>Said again and again.</p><div>Loose {k}</div>"
+        body = f"<article>{body}{inside if k % 2 else ''}</article>" if k < 30 else body + (inside if k % 2 else "")
+        pages.append((k, f"http://site{k % 2}.org/{k}", f"<body>{bars[k % 4]}{body}<div><b>Imprint</b></div></body>"))
+    pages += [(100 + k, "http://site1.org/copy", pages[1][2]) for k in range(20)]
+    seen = {}
+    for _, url, html in pages:
+        root = html_text.parse(html)
+        content = html_text._text_of(root, set())
+        for node in html_text._hash_all(root):
+            seen.setdefault((url.split("/")[2], canonical(node)), set()).add(content)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for k, url, html in pages:
+        root = html_text.parse(html)
+        gone = {id(n) for n in html_text._hash_all(root) if len(seen[url.split("/")[2], canonical(n)]) >= html_text.MIN_PAGES}
+        want = html_text._text_of(root, gone)
+        assert got[k] == want
+        changed += want != html_text._text_of(root, set())
+    assert changed == sum(k >= 100 or k >= 30 or k % 2 for k, _, _ in pages)
+    assert got[1] == "Own words of page 1.\nSaid again and again.\nLoose 1"
+    assert got[31] == "Own words of page 31.\nLoose 31"  # outside of an article, what all pages say is the site's
+
+
+def test_share_next_to_the_least_count(spark):
+    """A subtree on MIN_PAGES - 1 pages stays, one on MIN_PAGES goes."""
+    pages = [(k, "http://a.org/", f"<body><div>nine {'x' if k < 9 else k}</div><div>ten {'x' if k < 10 else k}</div><p>own {k}</p></body>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "nine x\nown 0" and got[11] == "nine 11\nten 11\nown 11"
+
+
+def test_rules_of_equal_length_and_long_urls(spark):
+    urls = ["http://b.com/fr/" + "x" * 100_000, "http://" + "a." * 2000 + "org/", "http://example.org/en/1", "http://example.org/en/2"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] * 2, "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = url_reputation.filter_urls(pages, labels).collect()
+    assert sorted((r["page_id"], r["rule"]) for r in rows) == sorted([(0, "com/fr/"), (1, "org/"), (2, "example.org/en/1"), (3, "org/")] * 2)
