@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    out = out.where("u > v")
+    return out if large else out.distinct()  # what the large step repeats, the small one drops
 
 
 def components(edges: DataFrame, max_steps: int = 50) -> DataFrame:

@@ -1,33 +1,35 @@
 """Exact Jaccard self-join on 5-word shingles with prefix filters under several global orders.
 
 Sets with Jaccard similarity of at least t share a token among the first floor((1 - t) n) + 1 of
-each set, under any one total order of all tokens. Three orders are used here: tokens go by the
+each set, under any one total order of all tokens. ``ORDERS`` orders are used here: in each, tokens go by the
 level (log2) of their frequency in the corpus, and within a level in keyed random order, another
-key for each order. A pair is a candidate only if it shares a prefix token under every order;
-candidates are verified on whole sets.
+key for each order. A pair is a candidate only if it shares a prefix token under every order:
+pairs come from the groups of the first order's prefix tokens, and are intersected with the other orders'
+filters before any text is looked at. Candidates are verified on whole sets.
 
 Steps, all on classes of documents with equal sets:
 
-1. Stars. Under four further keyed orders without frequencies, classes with the same first token
-   are compared with one pivot each, the one with the most frequent tokens, which in a group of
-   copies is next to their source. That is linear in the documents however large a group of near
-   copies is, and joins most of each group.
-2. Prefix join. Prefix tokens of the first order are grouped; tokens of one class, and then tokens
-   whose classes are in one component already, are dropped by aggregates. Groups are first compared
-   with one pivot each, which joins what is left of large groups of copies; then all pairs of a
-   group from different components whose sizes and places of the token allow the similarity: if it
-   is the first token that they share, what follows it bounds their overlap. No link that matters
-   is lost: a pair inside one component cannot change the components.
-3. Bitmaps of the sets (two bits a token) bound the overlap of each candidate from above; what passes
-   has its texts fetched, on which the other orders' filters and then the exact check run.
-
-Plan: shingles are hashed (64 bits) in numpy inside the scans. Shuffled are (class, size, bitmap) rows,
-the prefix tokens of one order, and texts of candidates that the bitmaps allow. Candidates' texts are picked by a broadcast of
-their ids when a count allows it, else by a shuffled join. Frequencies are counted for all
-tokens: with rare ones first, the place of the first shared token tells how many of a set's tokens nobody
-shares, and a near miss of a large group falls by that alone. They steer the order only, so no count can
-lose a link. A token in ``HOT`` sets or more is frequent; the table of those is sent to all tasks
-and holds ``HOT_TOKENS`` at most, for which the threshold doubles as often as it must.
+1. Prefix tokens of the first order are grouped; tokens of one class are dropped by an aggregate.
+2. Every class of a group is paired with one pivot of the group, the class with the most frequent tokens, which in
+   a group of near copies is next to their source. That is linear in the rows however large a group is.
+   Pairs that pass the filters and the check join most of each group of copies.
+3. Tokens whose classes are in one component by now are dropped; a pair inside one component cannot change
+   the components. Of the rest, all pairs from different components are taken
+   whose sizes and places of the token allow the similarity: if it is the first token that they share, what
+   follows it bounds their overlap.
+
+Filters of a pair, in turn: prefixes under the other orders, then bitmaps of the sets (two bits a token), which bound
+the overlap from above. What passes has its texts fetched for the exact check.
+
+Plan: shingles are hashed (64 bits) in numpy inside the scans. Shuffled are the prefix tokens of one order, once; then rows of
+tokens that several classes have; bitmaps and prefixes (16 bits a token) of the classes in pairs; and texts of pairs that pass the filters.
+What belongs to the classes of pairs is picked by a broadcast of their ids when a count allows it, else by a shuffled join. Tokens that are in
+more than 2**``SALT_FROM`` sets are dealt out by salts, and a task sends a set once however often its rows repeat it. Frequencies are counted in ``2**BITS`` bins,
+whatever the corpus: each task sends its compressed bins, and all tasks get one byte a bin. They steer the orders
+only, so no count can lose a link.
+
+A class is named by 64 bits of its set's 128-bit hash; if two sets of the corpus share a name, the other bits show it, and
+all are named anew under another seed.
 
 Defined results: null, empty and word-free texts have an empty set, link with nothing and form their
 own component (component_id is their doc_id). Texts of one to four words have one shingle, all their
@@ -38,14 +40,16 @@ gives an empty result. Other columns are ignored; ``keep_one`` passes them throu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,10 +59,11 @@ from ballastry.llm.components import components
 N = 5
 PERCENT = 75
 ORDERS = 3
-STARS = 4
+BITS = 24
 HOT = 8
-HOT_TOKENS = 1_000_000
 TOKENS_AT_ONCE = 1 << 22
+SALT_FROM = 12
+SEEN = 500_000
 BROADCAST_ROWS = 1_000_000
 BYTES_AT_ONCE = 1 << 20
 
@@ -134,29 +139,25 @@ def _sets(raws: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    h = xxhash.xxh3_64_intdigest(s.tobytes())
-    return h - 2**64 if h >= 2**63 else h
+def class_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """The 128-bit hash of a set, as two signed numbers."""
+    h = xxhash.xxh3_128_digest(s.tobytes(), seed)
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
+def bin_of(s: np.ndarray) -> np.ndarray:
+    """The frequency bins of tokens."""
+    return (s >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def prefix(s: np.ndarray, key: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first tokens of a set in order number key, as many as the filter needs."""
+def prefix(s: np.ndarray, order: int, levels: np.ndarray) -> np.ndarray:
+    """The first tokens of a set in an order, as many as the filter needs; levels has each bin's."""
     n = len(s) - -(-len(s) * PERCENT // 100) + 1
-    rank = (mix(s, key) >> np.uint64(6)) | (levels_of(s, hot).astype(np.uint64) << np.uint64(58))
+    rank = (mix(s, order) >> np.uint64(6)) | (levels[bin_of(s)].astype(np.uint64) << np.uint64(58))
     first = np.argpartition(rank, n - 1)[:n] if n < len(s) else np.arange(len(s))
     return s[first[np.argsort(rank[first])]]
 
 
-def levels_of(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The levels of a set's tokens, 0 for those that are not frequent; hot has those that are, sorted, and theirs."""
-    tokens, levels = hot
-    if not len(tokens):
-        return np.zeros(len(s), dtype=np.int64)
-    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-    return np.where(tokens[at] == s, levels[at], 0)
-
-
 def bitmap(s: np.ndarray) -> bytes:
     """Bits of a set's tokens: at least two for each token, a power of two in number."""
     size = 1 << max(6, (2 * len(s) - 1).bit_length())
@@ -179,6 +180,13 @@ def may_be_similar(n: int, bits: bytes, m: int, other: bytes) -> bool:
     return 100 * both >= PERCENT * (n + m - both)
 
 
+def share_a_token(a: bytes, b: bytes) -> bool:
+    """False only if two prefixes, given in sorted 16 bits a token, have no token in common."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    at = np.searchsorted(x, y)
+    return bool((x[np.minimum(at, len(x) - 1)] == y).any())
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
@@ -189,134 +197,180 @@ def with_keys(docs: DataFrame, one: str = "k1", two: str = "k2") -> DataFrame:
     return docs.withColumn(one, F.xxhash64("doc_id", "text")).withColumn(two, F.hash("text", "doc_id"))
 
 
-def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """The batches in pieces, which bounds what a task holds."""
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in pieces, which bounds what a task holds, and the sets of their texts."""
     for batch in batches:
-        for k in range(0, len(batch), rows):
-            yield batch.iloc[k : k + rows]
-
-
-def _classes(hot: Broadcast):
-    keys = range(101, 101 + STARS)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in parts(batches):
-            sets = shingle_sets(batch["text"].tolist())
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "k1": batch["k1"],
-                    "k2": batch["k2"],
-                    "bits": [bitmap(s) if len(s) else None for s in sets],
-                    "cls": [class_of(s) if len(s) else None for s in sets],
-                    "n": [len(s) for s in sets],
-                    "level": [float(levels_of(s, hot.value).mean()) if len(s) else None for s in sets],
-                    "firsts": [[int(s[np.argmin(mix(s, k))].view(np.int64)) for k in keys] if len(s) else None for s in sets],
-                }
-            ).astype({"cls": "Int64"})
-
-    return rows
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            yield part, shingle_sets(part["text"].to_pylist())
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the tokens, each text's once."""
-    held: list[np.ndarray] = []
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the texts of a task add to the bins, in compressed blocks of 65,536."""
+    bins, held, size = np.zeros(1 << BITS, dtype=np.uint32), [], 0
 
-    def counted() -> pd.DataFrame:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pd.DataFrame({"token": tokens.view(np.int64), "n": n})
+    def add() -> None:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        bins[found] += n.astype(np.uint32)
 
-    for batch in parts(batches):
-        for s in shingle_sets(batch["text"].tolist()):
-            held.append(s)
-        if sum(map(len, held)) > TOKENS_AT_ONCE:
-            yield counted()
+    for _, sets in parts(batches):
+        held += [bin_of(s).astype(np.uint32) for s in sets]
+        size += sum(map(len, sets))
+        if size > TOKENS_AT_ONCE:
+            add()
+            held, size = [], 0
     if held:
-        yield counted()
-
-
-def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent tokens, sorted, and the levels of their frequencies; at most HOT_TOKENS."""
-    counts = docs.select("text").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    hot = checkpointed(counts.where(F.col("n") >= HOT).select("token", F.floor(F.log2("n")).cast("int").alias("level")))
-    total, least = 0, 64
-    for level, n in sorted(hot.groupBy("level").count().collect(), reverse=True):  # at most 64 rows
-        total += n
-        if total > HOT_TOKENS:
-            break
-        least = level
-    rows = hot.where(F.col("level") >= least).toPandas()
-    tokens = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], rows["level"].to_numpy(dtype=np.int64)[order]
-
-
-def _prefix_rows(hot: Broadcast):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in parts(batches):
-            sets = [s for s in shingle_sets(batch["text"].tolist()) if len(s)]
-            if sets:
-                tokens = [prefix(s, 1, hot.value) for s in sets]
-                names = np.repeat(np.array([class_of(s) for s in sets], dtype=np.int64), [len(t) for t in tokens])
-                places = np.concatenate([np.arange(1, len(t) + 1, dtype=np.int32) for t in tokens])
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "cls": names, "pos": places})
+        add()
+    blocks = [(k, b) for k, b in enumerate(bins.reshape(-1, min(1 << 16, len(bins)))) if b.any()]
+    data = [zlib.compress(b.astype("<u4" if b.max() > 255 else "u1").tobytes(), 1) for _, b in blocks]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of whole blocks' sums, and the sum of each block."""
+    sums: dict[int, np.ndarray] = {}
+    size = min(1 << 16, 1 << BITS)
+    for batch in batches:
+        for block, data in zip(batch["block"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            raw = zlib.decompress(data)
+            own = sums.setdefault(block, np.zeros(size, dtype=np.uint64))
+            own += np.frombuffer(raw, "u1" if len(raw) == size else "<u4")
+    levels = [(np.frexp(np.maximum(own, 1).astype(np.float64))[1] - 1).astype(np.int8).tobytes() for own in sums.values()]
+    totals = pa.array([int(own.sum()) for own in sums.values()], pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), totals], ["block", "levels", "total"])
+
+
+def frequency_levels(docs: DataFrame) -> np.ndarray:
+    """A level for each bin: log2 of its count where that stands out from the mean, else 0."""
+    counted = docs.select("text").mapInArrow(_counted, "block int, data binary").repartition("block")
+    rows = counted.mapInArrow(_summed, "block int, levels binary, total long").collect()  # a byte a bin in all
+    levels = np.zeros((max(1, (1 << BITS) >> 16), min(1 << 16, 1 << BITS)), dtype=np.int8)
+    for r in rows:
+        levels[r["block"]] = np.frombuffer(r["levels"], np.int8)
+    least = np.log2(max(HOT, 4 * sum(r["total"] for r in rows) / levels.size))
+    return np.where(levels >= least, levels, 0).astype(np.int8).ravel()
+
+
+CLASSES = "doc_id long, k1 long, k2 int, cls long, other long, n long, level double, bits binary, prefixes array<binary>"
+
+
+def _classes(levels: Broadcast, orders: int, seed: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in parts(batches):
+            some = [s if len(s) else None for s in sets]
+            names = [(None, None) if s is None else class_of(s, seed) for s in some]
+            frequent = [None if s is None else float(levels.value[bin_of(s)].mean()) for s in some]
+            firsts = [
+                None if s is None else [np.sort(prefix(s, o, levels.value).astype("<u2")).tobytes() for o in range(2, orders + 1)] for s in some
+            ]
+            columns = [
+                part["doc_id"],
+                part["k1"],
+                part["k2"],
+                pa.array([a for a, _ in names], pa.int64()),
+                pa.array([b for _, b in names], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(frequent, pa.float64()),
+                pa.array([None if s is None else bitmap(s) for s in some], pa.binary()),
+                pa.array(firsts, pa.list_(pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "cls", "other", "n", "level", "bits", "prefixes"])
 
     return rows
 
 
-def _verified(hot: Broadcast | None):
-    """Keeps the pairs that pass the other orders' filters (if given) and are similar."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                texts = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
-                sets = dict(zip(texts, shingle_sets(texts), strict=True))
-                keep = []
-                for x, y in zip(part["text_a"], part["text_b"], strict=True):
-                    a, b = sets[x], sets[y]
-                    if hot is not None and not all(
-                        len(np.intersect1d(prefix(a, o, hot.value), prefix(b, o, hot.value), assume_unique=True)) for o in range(2, ORDERS + 1)
-                    ):
-                        keep.append(False)
-                    else:
-                        keep.append(similar(a, b))
-                yield part.loc[keep, ["a", "b"]]
+def _prefix_rows(levels: Broadcast, seed: int):
+    """(token, salt, cls, pos) of each set once a task; salts above 0 deal out tokens that are known to be very frequent."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, sets in parts(batches):
+            if len(seen) > SEEN:
+                seen.clear()
+            new = {}
+            for s in sets:
+                if len(s) and (name := class_of(s, seed)[0]) not in seen:
+                    new[name] = s
+            if new:
+                seen.update(new)
+                tokens = [prefix(s, 1, levels.value) for s in new.values()]
+                names = np.repeat(np.array(list(new)), [len(t) for t in tokens])
+                places = np.concatenate([np.arange(1, len(t) + 1, dtype=np.int32) for t in tokens])
+                tokens = np.concatenate(tokens)
+                over = np.maximum(levels.value[bin_of(tokens)].astype(np.int64) - SALT_FROM, 0)
+                salts = np.where(over > 0, 1 + (names & ((1 << over) - 1)), 0).astype(np.int32)
+                columns = [pa.array(tokens.view(np.int64)), pa.array(salts), pa.array(names), pa.array(places)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "salt", "cls", "pos"])
 
     return rows
 
 
+def _shared_rows(docs: DataFrame, levels: Broadcast, seed: int) -> DataFrame:
+    """The rows (token, cls, pos) of prefix tokens that several classes may have, in one shuffle."""
+    rows = docs.select("text").mapInArrow(_prefix_rows(levels, seed), "token long, salt int, cls long, pos int")
+    group = Window.partitionBy("token", "salt")
+    rows = rows.withColumn("lo", F.min("cls").over(group)).withColumn("hi", F.max("cls").over(group)).where("salt > 0 or lo < hi")
+    return rows.select("token", "salt", "cls", "pos").distinct().select("token", "cls", "pos")
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps the pairs that are similar."""
+    for batch in batches:
+        for k in range(0, len(batch), 256):
+            part = batch.iloc[k : k + 256]
+            texts = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
+            sets = dict(zip(texts, shingle_sets(texts), strict=True))
+            keep = [similar(sets[x], sets[y]) for x, y in zip(part["text_a"], part["text_b"], strict=True)]
+            yield part.loc[keep, ["a", "b"]]
+
+
+def _filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps the pairs that share prefix tokens under all other orders and whose bitmaps allow the similarity."""
+    for batch in batches:
+        rows = zip(batch["na"], batch["bits_a"], batch["prefixes_a"], batch["nb"], batch["bits_b"], batch["prefixes_b"], strict=True)
+        keep = [all(map(share_a_token, p, q)) and may_be_similar(n, x, m, y) for n, x, p, m, y, q in rows]
+        yield batch.loc[keep, PAIR]
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df to broadcast if a count shows that it is small, else df for a shuffled join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-@F.pandas_udf(T.BooleanType())
-def _possible(n: pd.Series, bits: pd.Series, m: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([may_be_similar(*x) for x in zip(n, bits, m, other, strict=True)], dtype=bool)
+#: A pair: two classes, and the keys of the rows that stand for them.
+PAIR = ["a", "a1", "a2", "b", "b1", "b2"]
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, hot: Broadcast | None) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar.
+def _standing_for(pairs: DataFrame) -> DataFrame:
+    """(cls, k1, k2): the classes of the pairs and the rows that stand for them."""
+    one, two = pairs.select(*PAIR[:3]), pairs.select(*PAIR[3:])
+    return _small(one.union(two).toDF("cls", "k1", "k2").distinct())
 
-    reps has the row (k1, k2) that stands for each class, its size and its bitmap. Bitmaps rule most
-    unlike pairs out, so texts move for the rest only.
-    """
-    one = reps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    two = reps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    pairs = pairs.join(one, "a").join(two, "b").where(_possible("na", "bits_a", "nb", "bits_b")).select("a", "b")
+
+def signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each class of the pairs, with its size, bitmap and prefixes."""
+    found = classes.join(_standing_for(pairs), ["cls", "k1", "k2"])
+    return found.select("cls", "n", "bits", "prefixes").dropDuplicates(["cls"])
+
+
+def candidates(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs that pass all filters; signed has their signatures."""
+    columns = {"n": "n{}", "bits": "bits_{}", "prefixes": "prefixes_{}"}
+    one, two = (signed.select(F.col("cls").alias(side), *[F.col(c).alias(to.format(side)) for c, to in columns.items()]) for side in "ab")
+    return pairs.join(one, "a").join(two, "b").mapInPandas(_filtered, "a long, a1 long, a2 int, b long, b1 long, b2 int")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar. Texts move for those that pass all filters only."""
     pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
-    wanted = checkpointed(wanted.select("cls", "k1", "k2"))
-    texts = with_keys(docs).join(_small(wanted), ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"])
+    pairs = checkpointed(candidates(pairs, signatures(pairs, classes)))
+    texts = with_keys(docs).join(_standing_for(pairs), ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"])
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified(hot), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a long, b long")
 
 
-SIDE = ["cls", "comp", "n", "pos"]
+SIDE = ["cls", "comp", "n", "pos", "k1", "k2"]
 
 
 def _side(name: str) -> list[Column]:
@@ -324,52 +378,62 @@ def _side(name: str) -> list[Column]:
 
 
 def _possible_pairs(ends: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of different components that can be similar if the row's token is the first they share."""
+    """The distinct pairs of different components that can be similar if the row's token is the first they share."""
     most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     fits = (F.col("comp_a") != F.col("comp_b")) & (most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
-    return ends.where(fits).select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct()
+    one, two = (F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("cls", "k1", "k2")]) for x in "ab")
+    pairs = ends.where(fits).select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
+    return pairs.select("x.*", "y.*").toDF(*PAIR).distinct()
 
 
-def _mixed(rows: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows (token, cls, pos) whose token stands in several components, with comp, n and level."""
-    named = reps.select("cls", "n", "level").join(joined, F.col("cls") == F.col("node"), "left").select("cls", "n", "level", F.coalesce("component", "cls").alias("comp"))
-    rows = rows.join(named, "cls").select("token", "cls", "pos", "comp", "n", "level")
+def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows whose token stands in several components, with their components."""
+    rows = rows.drop("comp").join(joined, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
     return rows.join(mixed, F.col("token") == F.col("t"), "left_semi")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """Every row beside its token's pivot."""
+    pivot = rows.groupBy("token").agg(F.max(F.struct("level", *SIDE)).alias("p"))
+    return rows.join(pivot, "token").select("token", *_side("a"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in SIDE])
+
+
+def _with_all(rows: DataFrame) -> DataFrame:
+    """Every row beside those of its token's other components."""
+    return rows.select("token", *_side("a")).join(rows.select("token", *_side("b")), "token").where("comp_a < comp_b")
+
+
+def _named(docs: DataFrame, levels: Broadcast, orders: int) -> tuple[DataFrame, DataFrame, int]:
+    """All rows with their classes, a row for each class, and the seed under which no two sets share a name."""
+    for seed in range(8):
+        classes = checkpointed(with_keys(docs).mapInArrow(_classes(levels, orders, seed), CLASSES))
+        reps = classes.where("cls is not null").groupBy("cls").agg(
+            F.min("doc_id").alias("least"),
+            F.min(F.struct("k1", "k2")).alias("rep"),
+            (F.min("other") != F.max("other")).alias("twice"),
+            F.min("n").alias("n"),
+            F.min("level").alias("level"),
+        )
+        reps = checkpointed(reps.select("cls", "least", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "twice", "n", "level"))
+        if reps.where("twice").isEmpty():
+            return classes, reps, seed
+    raise RuntimeError("sets share their names under all seeds")
+
+
+def jaccard_components(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     """doc_id, its row's keys k1 and k2, n_shingles, component_id and component (a class, null for an empty set)."""
     docs = docs.select("doc_id", "text")
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))
-    schema = "doc_id long, k1 long, k2 int, bits binary, cls long, n long, level double, firsts array<long>"
-    classes = checkpointed(with_keys(docs).mapInPandas(_classes(hot), schema))
-    named = classes.where("cls is not null")
-    reps = named.groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.min("n").alias("n"), F.min("level").alias("level"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")
-    ).select("cls", "least", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n", "level", "firsts", "bits")
-    reps = checkpointed(reps)
-
-    first = reps.select("cls", "level", F.posexplode("firsts").alias("k", "token"))
-    pivot = first.groupBy("k", "token").agg(F.max_by("cls", F.struct("level", "cls")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = first.join(pivot, ["k", "token"]).where("cls <> pivot")
-    pairs = stars.select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
-    links = checkpointed(verify(pairs, docs, reps, None))
-    joined = checkpointed(components(links))
-
-    tokens = docs.select("text").mapInPandas(_prefix_rows(hot), "token long, cls long, pos int")
-    shared = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    rows = tokens.join(_small(checkpointed(shared)), F.col("token") == F.col("t")).select("token", "cls", "pos").distinct()
-    rows = checkpointed(_mixed(rows, reps, joined))
-    pivot = rows.groupBy("token").agg(F.max(F.struct("level", "cls", "comp", "n", "pos")).alias("p"))
-    ends = rows.join(pivot, "token").select("token", *_side("a"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in SIDE])
-    links = checkpointed(links.unionByName(verify(_possible_pairs(ends), docs, reps, hot)))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
+    classes, reps, seed = _named(docs, levels, orders)
+
+    rows = _shared_rows(docs, levels, seed).join(reps.select("cls", F.col("cls").alias("comp"), "n", "level", "k1", "k2"), "cls")
+    rows = checkpointed(rows)
+    links = checkpointed(verify(_possible_pairs(_with_pivots(rows)), docs, classes))
+    rows = checkpointed(_mixed(rows, components(links)))
+    links = links.unionByName(verify(_possible_pairs(_with_all(rows)), docs, classes))
     joined = checkpointed(components(links))
 
-    rows = checkpointed(_mixed(rows.select("token", "cls", "pos"), reps, joined))
-    ends = rows.select("token", *_side("a")).join(rows.select("token", *_side("b")), "token").where("comp_a < comp_b")
-    joined = checkpointed(components(links.unionByName(verify(_possible_pairs(ends), docs, reps, hot))))
-
     groups = reps.join(joined, reps["cls"] == joined["node"], "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     smallest = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
     groups = groups.join(smallest, "comp").select(F.col("cls").alias("c"), F.col("comp").alias("component"), "component_id")
@@ -381,13 +445,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that repeat it, one stays. Rows whose set is empty all stay.
+    Of rows that repeat it, one stays, the same in every run. Rows whose set is empty all stay.
     """
     found = checkpointed(jaccard_components(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     chosen = found.where("component is not null").groupBy("component").agg(F.min(order).alias("row")).select(F.col("row.k1").alias("_nj_a"), F.col("row.k2").alias("_nj_b"))
     keyed = with_keys(docs, "_nj_1", "_nj_2")
-    one = keyed.join(chosen, (F.col("_nj_1") == F.col("_nj_a")) & (F.col("_nj_2") == F.col("_nj_b"))).dropDuplicates(["_nj_1", "_nj_2"])
+    # Rows may have one id and text, but other columns that differ: the smallest hash of those decides, in every run.
+    rest = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = keyed.join(chosen, (F.col("_nj_1") == F.col("_nj_a")) & (F.col("_nj_2") == F.col("_nj_b")))
+    one = one.groupBy("_nj_1", "_nj_2").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*rest)).alias("_nj_row")).select("_nj_row.*")
     empty = keyed.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return one.select(*docs.columns).unionByName(empty.select(*docs.columns))
 
