@@ -15,6 +15,7 @@ from ballastry.functions.numeric import YEAR, compounded, growth
 from ballastry.operators import kernels
 from ballastry.operators.moments import covariances
 from ballastry.operators.panel import Windows, universe
+from ballastry.session import kept
 
 
 def by_period() -> WindowSpec:
@@ -47,12 +48,12 @@ class Market:
     @cached_property
     def universe(self) -> DataFrame:
         """A row a symbol and period; kept, because every alignment reads it."""
-        return universe(self.train, self.windows).persist()
+        return kept(universe(self.train, self.windows))
 
     @cached_property
     def cov(self) -> DataFrame:
         """Kept, because kernels and quadratic forms of all strategies read it."""
-        return covariances(self.rets, self.windows).persist()
+        return kept(covariances(self.rets, self.windows))
 
     def formation(self, rows: int) -> Column:
         """Whether a training row is in the formation window: `rows` rows, the last one left out.
@@ -68,7 +69,7 @@ class Market:
     def scores(self, rows: int = 21) -> DataFrame:
         """(period, symbol, score, sd): momentum, and the deviation over the whole window, of the universe; kept, as four strategies read it."""
         if rows not in self._scores:
-            self._scores[rows] = self._scored(rows).persist()
+            self._scores[rows] = kept(self._scored(rows))
         return self._scores[rows]
 
     def _scored(self, rows: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballastry.operators.panel import Windows, indexed, returns
 from ballastry.operators.strategies import Market
+from ballastry.session import kept
 
 #: (training rows, step) of each panel
 SIZES = {"brand_week": (104, 4), "brand_day": (730, 30), "type_month": (24, 3), "size_month": (48, 3)}
@@ -41,6 +42,6 @@ def panel(spark: SparkSession, sf_dir: str, name: str = "brand_week") -> DataFra
 def market(spark: SparkSession, sf_dir: str, name: str = "brand_week", periods: int | None = None, extra: int = 0) -> Market:
     """A panel with its windows. Prices and returns are kept, because every strategy reads them."""
     train, step = SIZES[name]
-    px = indexed(panel(spark, sf_dir, name)).persist()
+    px = kept(indexed(panel(spark, sf_dir, name)))
     windows = Windows.over(px, train, step, extra) if periods is None else Windows(train, step, periods)
-    return Market(px, returns(px).persist(), windows)
+    return Market(px, kept(returns(px)), windows)

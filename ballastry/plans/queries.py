@@ -9,6 +9,7 @@ from ballastry.operators import analysis, backtest, kernels, metrics, moments, p
 from ballastry.plans.panels import load, market
 from ballastry.plans.panels import panel as prices_of
 from ballastry.schema import STABLE_PAIRS
+from ballastry.session import kept
 from ballastry.sources import klines, prices, store
 from ballastry.streaming.candles import candles
 
@@ -38,7 +39,7 @@ def query(f):
 
 def plain(spark: SparkSession, sf_dir: str):
     m = market(spark, sf_dir)
-    return m, strategies.weights_of(m, PLAIN).persist()
+    return m, kept(strategies.weights_of(m, PLAIN))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +149,7 @@ def ivp_weights(spark, sf_dir):
 def mvp_kkt(spark, sf_dir):
     """Whether the optimality conditions of the minimum-variance weights hold, by period."""
     m = market(spark, sf_dir)
-    w = strategies.minimum_variance(m).persist()
+    w = kept(strategies.minimum_variance(m))
     full = moments.both_ways(m.cov)
     grad = full.join(w.select("period", F.col("symbol").alias("j"), "weight"), ["period", "j"]).groupBy("period", F.col("i").alias("symbol")).agg(F.sum(F.col("cov") * F.col("weight")).alias("g"))
     var = moments.quadratic(w, m.cov, ["period"])
@@ -344,7 +345,7 @@ def static_backtest(spark, sf_dir):
 def rolling_backtest_all(spark, sf_dir):
     """All seven strategies: series metrics, concentration and trading totals."""
     m = market(spark, sf_dir)
-    return rounded(backtest.dynamic_metrics(m, strategies.weights_of(m, list(strategies.STRATEGIES)).persist()), 6)
+    return rounded(backtest.dynamic_metrics(m, kept(strategies.weights_of(m, list(strategies.STRATEGIES)))), 6)
 
 
 @query
@@ -362,13 +363,13 @@ def drift_weights(spark, sf_dir):
 @query
 def carry_backtest(spark, sf_dir):
     m = market(spark, sf_dir, extra=2)
-    return rounded(backtest.carried(m, strategies.weights_of(m, ["IVP"]).persist()), 7)
+    return rounded(backtest.carried(m, kept(strategies.weights_of(m, ["IVP"]))), 7)
 
 
 @query
 def carry_backtest_all(spark, sf_dir):
     m = market(spark, sf_dir, extra=2)
-    return rounded(backtest.carried(m, strategies.weights_of(m, ["HRP", "IVP", "MVP"]).persist()), 7)
+    return rounded(backtest.carried(m, kept(strategies.weights_of(m, ["HRP", "IVP", "MVP"]))), 7)
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ballastry.session import kept
 from ballastry.sources.klines import PAUSE, historical_klines
 from ballastry.sources.store import merge_version, newest, read_versioned, resume_points
 
@@ -19,6 +20,5 @@ def collect(spark: SparkSession, path: str, symbols: list[str], start: str, end:
     wanted = set(symbols)
     resume = {} if found is None else {r["symbol"]: r["start"] for r in resume_points(spark.read.parquet(found[1])).collect() if r["symbol"] in wanted}  # a row a symbol
     new = historical_klines(spark, symbols, interval, start, end, url, resume, transport, pause, partitions)
-    merge_version(new.persist(), path, mode=mode)
-    new.unpersist()
+    merge_version(kept(new), path, mode=mode)  # fetched once
     return read_versioned(spark, path).orderBy("symbol", "open_time")
