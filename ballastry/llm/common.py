@@ -42,6 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows_a_task: int = 250_000) -> DataFrame:
+    """df, checkpointed, in as many partitions as its rows need (8 at least): near-empty ones cost files in every later shuffle."""
+    df = checkpointed(df)
+    return df.coalesce(max(8, -(-df.count() // rows_a_task)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ballastry.llm.common import checkpointed
 
+ROWS_A_TASK = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over undirected edges (u > v): relinks neighbours to the smallest one.
@@ -41,5 +43,6 @@ def components(edges: DataFrame, max_steps: int = 50) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         last = mark
-        now = checkpointed(_star(_star(now, True), False))
+        tasks = max(8, -(-mark["n"] // ROWS_A_TASK))  # near-empty partitions cost files in every shuffle
+        now = checkpointed(_star(_star(now.coalesce(tasks), True).coalesce(tasks), False).coalesce(tasks))
     raise RuntimeError(f"components did not settle in {max_steps} steps")

@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballastry.llm.common import checkpointed, table
+from ballastry.llm.common import checkpointed, gathered, table
 from ballastry.llm.components import components
 
 N = 5
@@ -362,8 +362,8 @@ def candidates(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar. Texts move for those that pass all filters only."""
-    pairs = checkpointed(pairs)
-    pairs = checkpointed(candidates(pairs, signatures(pairs, classes)))
+    pairs = gathered(pairs)
+    pairs = gathered(candidates(pairs, signatures(pairs, classes)))
     texts = with_keys(docs).join(_standing_for(pairs), ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"])
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
@@ -428,9 +428,9 @@ def jaccard_components(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     classes, reps, seed = _named(docs, levels, orders)
 
     rows = _shared_rows(docs, levels, seed).join(reps.select("cls", F.col("cls").alias("comp"), "n", "level", "k1", "k2"), "cls")
-    rows = checkpointed(rows)
-    links = checkpointed(verify(_possible_pairs(_with_pivots(rows)), docs, classes))
-    rows = checkpointed(_mixed(rows, components(links)))
+    rows = gathered(rows)
+    links = gathered(verify(_possible_pairs(_with_pivots(rows)), docs, classes))
+    rows = gathered(_mixed(rows, components(links)))
     links = links.unionByName(verify(_possible_pairs(_with_all(rows)), docs, classes))
     joined = checkpointed(components(links))
 
