@@ -14,9 +14,11 @@ Steps, all on classes of documents with equal sets:
    a group of near copies is next to their source. That is linear in the rows however large a group is.
    Pairs that pass the filters and the check join most of each group of copies.
 3. Tokens whose classes are in one component by now are dropped; a pair inside one component cannot change
-   the components. Of the rest, all pairs from different components are taken
-   whose sizes and places of the token allow the similarity: if it is the first token that they share, what
-   follows it bounds their overlap.
+   the components. While tokens of the rest are crowded, a turn pairs each of their rows with another pivot and with the few rows
+   of a small random group of its token, which is linear as well.
+4. Of what is left, all pairs from different components are taken whose sizes and places of the token allow the similarity:
+   if it is the first token that they share, what follows it bounds their overlap. The smaller set's place must be in its first
+   seventh, and a pair is left to an earlier token if it shares one of the last ``BEFORE``.
 
 Filters of a pair, in turn: prefixes under the other orders, then bitmaps of the sets (two bits a token), which bound
 the overlap from above. What passes has its texts fetched for the exact check.
@@ -42,7 +44,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,10 @@ HOT = 8
 TOKENS_AT_ONCE = 1 << 22
 SALT_FROM = 12
 SEEN = 500_000
+TURNS = 4
+TOGETHER = 4
+CROWDED = 16
+BEFORE = 32
 BROADCAST_ROWS = 1_000_000
 BYTES_AT_ONCE = 1 << 20
 
@@ -79,19 +84,28 @@ def mix(x: np.ndarray, key: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64), 11)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
 _STEPS = mix(np.arange(1, N + 1, dtype=np.uint64), 12) | np.uint64(1)
 _SHORT = mix(np.arange(N + 1, dtype=np.uint64), 13)
-_BASE = 0x9E3779B97F4A7C55
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] = _LOWER[97:123]  # A-Z as a-z
+#: What a byte at one of the first places of a word adds to the word's hash.
+_TABLE = mix((np.arange(64, dtype=np.uint64)[:, None] << np.uint64(8)) | _LOWER, 11).ravel()
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    up, down = np.full(n + 1, _BASE, dtype=np.uint64), np.full(n + 1, pow(_BASE, -1, 2**64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: the sum of what mix() makes of each byte and its place in the word.
+
+    No algebra ties the places together, unlike in polynomials of one base, so words of patterns collide no oftener than others.
+    """
+    begin = np.zeros(len(data), dtype=np.int64)
+    begin[starts] = starts
+    place = np.arange(len(data), dtype=np.int64) - np.maximum.accumulate(begin)
+    each = _TABLE[np.minimum(place, 63) << 8 | data]
+    late = np.flatnonzero(place > 63)
+    each[late] = mix((place[late].astype(np.uint64) << np.uint64(8)) | _LOWER[data[late]], 11)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(each, out=sums[1:])
+    return mix(sums[ends] - sums[starts])
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -111,13 +125,10 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 def _sets(raws: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
-    up, down = _powers(max(2 * BYTES_AT_ONCE, 1 << (len(data)).bit_length()))
     word = ~_SPACE[data]
     edge = np.diff(word.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts])
+    words = word_hashes(data, starts, ends)
     firsts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
     bounds = np.searchsorted(starts, firsts)
     n = max(len(words) - N + 1, 0)
@@ -387,21 +398,37 @@ def _possible_pairs(ends: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows whose token stands in several components, with their components."""
-    rows = rows.drop("comp").join(joined, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    return rows.join(mixed, F.col("token") == F.col("t"), "left_semi")
+    """The rows whose token stands in several components, with their components and m, the number of their token's rows."""
+    rows = rows.drop("comp", "m").join(joined, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    return rows.join(mixed.select(F.col("token").alias("t"), "m"), F.col("token") == F.col("t")).drop("t")
 
 
-def _with_pivots(rows: DataFrame) -> DataFrame:
-    """Every row beside its token's pivot."""
-    pivot = rows.groupBy("token").agg(F.max(F.struct("level", *SIDE)).alias("p"))
+def _with_pivots(rows: DataFrame, by: Column) -> DataFrame:
+    """Every row beside its token's pivot, the row of the largest value of by."""
+    pivot = rows.groupBy("token").agg(F.max(F.struct(by.alias("by"), *SIDE)).alias("p"))
     return rows.join(pivot, "token").select("token", *_side("a"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in SIDE])
 
 
+def _with_few(rows: DataFrame, turn: int) -> DataFrame:
+    """Every row beside those of a small group of its token's rows, drawn anew each turn: ``TOGETHER`` rows on average, whatever m is."""
+    drawn = F.when(F.col("m") > TOGETHER, F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("m") / TOGETHER))).otherwise(0)
+    rows = rows.withColumn("few", drawn)
+    one, two = rows.select("token", "few", *_side("a")), rows.select("token", "few", *_side("b"))
+    return one.join(two, ["token", "few"]).where("comp_a < comp_b").drop("few")
+
+
 def _with_all(rows: DataFrame) -> DataFrame:
-    """Every row beside those of its token's other components."""
-    return rows.select("token", *_side("a")).join(rows.select("token", *_side("b")), "token").where("comp_a < comp_b")
+    """Every row beside those of its token's other components, if the smaller set's row can be of a similar pair at all.
+
+    A pair that shares one of the last ``BEFORE`` shared tokens before this one is left to that token.
+    """
+    order = Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1)
+    rows = checkpointed(rows.withColumn("before", F.collect_list("token").over(order)))
+    one = rows.where(f"(pos - 1) * {100 + PERCENT} <= n * {100 - PERCENT}").select("token", "before", *_side("a"))
+    two = rows.select("token", F.col("before").alias("before_b"), *_side("b"))
+    fits = f"(n_a < n_b OR n_a = n_b AND cls_a < cls_b) AND comp_a <> comp_b AND n_b * {PERCENT} <= n_a * 100"
+    return one.join(two, "token").where(f"{fits} AND NOT arrays_overlap(before, before_b)").drop("before", "before_b")
 
 
 def _named(docs: DataFrame, levels: Broadcast, orders: int) -> tuple[DataFrame, DataFrame, int]:
@@ -429,8 +456,18 @@ def jaccard_components(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
 
     rows = _shared_rows(docs, levels, seed).join(reps.select("cls", F.col("cls").alias("comp"), "n", "level", "k1", "k2"), "cls")
     rows = gathered(rows)
-    links = gathered(verify(_possible_pairs(_with_pivots(rows)), docs, classes))
+    links = gathered(verify(_possible_pairs(_with_pivots(rows, F.col("level"))), docs, classes))
     rows = gathered(_mixed(rows, components(links)))
+    for turn in range(TURNS):
+        crowd = rows.agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if (crowd["m"] or 0) <= CROWDED * crowd["n"]:
+            break
+        ends = _with_pivots(rows, F.xxhash64("cls", F.lit(turn))).unionByName(_with_few(rows, turn))
+        found = gathered(verify(_possible_pairs(ends), docs, classes))
+        links = gathered(links.unionByName(found))
+        rows = gathered(_mixed(rows, components(links)))
+        if found.count() * 100 < crowd["n"]:
+            break
     links = links.unionByName(verify(_possible_pairs(_with_all(rows)), docs, classes))
     joined = checkpointed(components(links))
 

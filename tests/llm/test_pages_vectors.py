@@ -72,7 +72,7 @@ def test_cap_filter_recall_on_many_vectors(spark):
             x[k + j] = cosine * x[k] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
     x = x.astype(np.float32).astype(np.float64)
     table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
-    got = cap_filters.near_duplicates(table).toPandas().set_index("vec_id")["n_links"]
+    got = cap_filters.near_duplicates(table).toPandas().set_index("vec_id").sort_index()["n_links"]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (unit[::100] @ unit.T >= 0.9).sum(axis=1) - 1
     found = got.loc[::100].to_numpy()

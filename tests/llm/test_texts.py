@@ -326,3 +326,32 @@ def test_clashing_columns(spark):
     assert line_dedup.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
     assert ngram_jaccard.keep_one(docs).columns == docs.columns
     assert language_id.keep_identified(docs).columns == docs.columns
+
+
+def test_words_of_patterns_do_not_collide(spark):
+    word = "a"
+    while len(word) < 2048:  # the Thue-Morse word, which ties all polynomial hashes modulo a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word[:n].translate(t) for n in (1024, 2048) for t in (str.maketrans("", ""), str.maketrans("ab", "ba"))]
+    got = [r["component_id"] for r in ngram_jaccard.jaccard_components(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("crowded", [0, 10**9])
+def test_crowded_tokens_by_brute_force(spark, monkeypatch, crowded):
+    """A group of near copies of one source, with and without links to it, through turns of pivots and small groups or without any."""
+    monkeypatch.setattr(ngram_jaccard, "CROWDED", crowded)
+    monkeypatch.setattr(ngram_jaccard, "BEFORE", 2)
+    rng = random.Random(8)
+    source = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(150):
+        own = list(source[: rng.choice([50, 55, 60])])
+        for place in rng.sample(range(len(own)), rng.choice([0, 1, 1, 2, 2, 3])):
+            own[place] = f"x{k}" if k % 3 else rng.choice("uv")
+        texts.append(" ".join(own))
+    ids = list(range(150))
+    rng.shuffle(ids)
+    want = components([shingles(t) for t in texts], ids)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(documents(spark, texts, ids)).collect()}
+    assert got == want and 5 < len(set(want.values())) < 145
