@@ -18,7 +18,7 @@ Steps, all on classes of documents with equal sets:
    of a small random group of its token, which is linear as well.
 4. Of what is left, all pairs from different components are taken whose sizes and places of the token allow the similarity:
    if it is the first token that they share, what follows it bounds their overlap. The smaller set's place must be in its first
-   seventh, and a pair is left to an earlier token if it shares one of the last ``BEFORE``.
+   seventh, and a pair is left to an earlier crowded token if it shares one of the last ``BEFORE``.
 
 Filters of a pair, in turn: prefixes under the other orders, then bitmaps of the sets (two bits a token), which bound
 the overlap from above. What passes has its texts fetched for the exact check.
@@ -421,10 +421,12 @@ def _with_few(rows: DataFrame, turn: int) -> DataFrame:
 def _with_all(rows: DataFrame) -> DataFrame:
     """Every row beside those of its token's other components, if the smaller set's row can be of a similar pair at all.
 
-    A pair that shares one of the last ``BEFORE`` shared tokens before this one is left to that token.
+    A pair that shares one of the last ``BEFORE`` crowded tokens before this one is left to that token.
     """
+    crowded = F.col("m") > CROWDED
     order = Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1)
-    rows = checkpointed(rows.withColumn("before", F.collect_list("token").over(order)))
+    few = rows.where(~crowded).withColumn("before", F.array().cast("array<bigint>"))
+    rows = few.unionByName(rows.where(crowded).withColumn("before", F.collect_list("token").over(order)))
     one = rows.where(f"(pos - 1) * {100 + PERCENT} <= n * {100 - PERCENT}").select("token", "before", *_side("a"))
     two = rows.select("token", F.col("before").alias("before_b"), *_side("b"))
     fits = f"(n_a < n_b OR n_a = n_b AND cls_a < cls_b) AND comp_a <> comp_b AND n_b * {PERCENT} <= n_a * 100"
