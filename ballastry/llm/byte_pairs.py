@@ -1,15 +1,15 @@
 """Byte-level BPE by a rank file, with a hierarchical bitmap as the queue of merge ranks.
 
 A text is cut by the pattern into pre-tokens, and each is merged by itself: always the pair of neighbours whose joint bytes
-have the lowest rank, the leftmost among equals. ``RankQueue`` holds the candidates. Each rank has a bucket, a linked list
-of the places where its pair starts; one bit a rank says whether its bucket has entries, and a bit in the level above
+have the lowest rank, the leftmost among equals. ``RankQueue`` holds the candidates. Each rank has a bucket for
+the places in the linked list of parts where its pair starts; one bit a rank says whether its bucket has entries, and a bit in the level above
 whether any of 64 words below has. Find-first-set from the top gives the next rank in as many steps as there are levels (3 for
 50,257 ranks), however long the pre-token is. A merge makes the entries of its neighbours stale; they stay in their buckets and are
 skipped when taken. A bucket is taken whole and its places are merged from left to right; if a merge offers a rank
-below the bucket's, the rest goes back first. A pre-token of n bytes so takes about n steps, where scans of all pairs take n squared.
+below the bucket's, the rest of that pre-token goes back first. Many short pre-tokens share one run of the queue, with borders between them. A pre-token of n bytes so takes about n steps, where scans of all pairs take n squared.
 
-Plan: one scan, no shuffle. A worker keeps the ids of up to ``MAX_KEPT`` short pre-tokens and starts that table anew beyond; a text is
-worked off ``PIECES_AT_ONCE`` pre-tokens at a time, so only its ids (4 bytes each) and one part of it are held.
+Plan: one scan, no shuffle. A worker keeps the ids of up to ``MAX_KEPT`` short pre-tokens and starts that table anew beyond; texts of up to
+``CHARS_AT_ONCE`` characters together are worked off at once, a longer one ``PIECES_AT_ONCE`` pre-tokens at a time, so only its ids (4 bytes each) and one part of it are held.
 
 Defined results: a null text is encoded as the empty text, which has no ids and decodes to no bytes; null ids decode to null. Ids that are null
 or have no bytes in the vocabulary fail the decoding. Rows that repeat an id give equal rows. An empty table gives an empty result. Other columns pass
@@ -31,52 +31,29 @@ from pyspark.sql import types as T
 
 from ballastry.llm.common import table
 
-MAX_KEPT = 200_000
+MAX_KEPT = 400_000
 KEPT_LENGTH = 64
+CHARS_AT_ONCE = 1 << 20
 PIECES_AT_ONCE = 1 << 16
+BYTES_AT_ONCE = 1 << 17
+#: Stands between pre-tokens; no UTF-8 text has it, and no token of several bytes may.
+BORDER = b"\xff"
 
 
 class RankQueue:
-    """Buckets of places by rank, and bitmaps that find the lowest rank with entries."""
+    """Empty buckets for places by rank, and bitmaps that find the lowest rank with places: a bit a rank, and a bit a word below.
+
+    ``RankModel.merge`` works on them in place, as calls would take most of its time. Between its runs all are empty.
+    """
 
     def __init__(self, ranks: int) -> None:
         words = -(-ranks // 64)
-        self.low, self.mid, self.top = [0] * words, [0] * -(-words // 64), 0
-        self.head = [-1] * ranks
-        self.places: list[int] = []
-        self.links: list[int] = []
-
-    def push(self, rank: int, place: int) -> None:
-        before = self.head[rank]
-        self.head[rank] = len(self.places)
-        self.places.append(place)
-        self.links.append(before)
-        if before < 0:
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, list[int]]:
-        """The lowest rank and the places of its bucket, from left to right; the bucket is then empty."""
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        self.low[b] &= self.low[b] - 1
-        if not self.low[b]:
-            self.mid[a] &= self.mid[a] - 1
-            if not self.mid[a]:
-                self.top &= self.top - 1
-        at, self.head[rank] = self.head[rank], -1
-        found = []
-        while at >= 0:
-            found.append(self.places[at])
-            at = self.links[at]
-        found.reverse()  # mostly in order by now, as places were pushed from left to right
-        found.sort()
-        if not self.top:
-            self.places.clear()
-            self.links.clear()
-        return rank, found
+        self.low, self.mid = [0] * words, [0] * -(-words // 64)  # the top level is one number, which merge holds
+        self.buckets: list[list[int] | None] = [None] * ranks
+
+
+#: The value of each bit of a word.
+BIT = [1 << k for k in range(64)]
 
 
 class RankModel:
@@ -85,7 +62,9 @@ class RankModel:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.find = regex.compile(pattern).finditer
+        if any(BORDER in token and len(token) > 1 for token in self.ranks):
+            raise ValueError("a token has the byte 255, which no text has")
+        self.pattern = regex.compile(pattern)
         size = max(self.ranks.values()) + 1
         self.longest = max(map(len, self.ranks))
         self.bytes: list[bytes | None] = [None] * size
@@ -95,69 +74,136 @@ class RankModel:
         self.queue = RankQueue(size)
         self.kept: dict[str, list[int]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, queue, longest = self.ranks, self.queue, self.longest
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token; all are worked off in one queue, since no pair goes over a border."""
+        look_up, longest = self.ranks.get, self.longest
+        low, mid, buckets = self.queue.low, self.queue.mid, self.queue.buckets
+        data = BORDER.join(pieces) + BORDER
+        n, top = len(data), 0
         before, after = list(range(-1, n - 1)), list(range(1, n + 2))  # the part that starts at i ends at after[i]
         current = [-1] * n  # the rank that the part at i and its right neighbour have together
+        offered = []
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = look_up(data[i : i + 2])
             if rank is not None:
                 current[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, places = queue.pop()
-            for k, i in enumerate(places):
+                offered.append((rank, i))
+        while True:
+            for rank, i in offered:
+                bucket = buckets[rank]
+                if bucket is None:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    low[word] |= BIT[rank & 63]
+                    mid[word >> 6] |= BIT[word & 63]
+                    top |= 1 << (word >> 6)
+                else:
+                    bucket.append(i)
+            if not top:
+                break
+            a = (top & -top).bit_length() - 1  # find the first bit set, level by level
+            bits = mid[a]
+            b = a << 6 | (bits & -bits).bit_length() - 1
+            bits = low[b]
+            rank = b << 6 | (bits & -bits).bit_length() - 1
+            places = buckets[rank]
+            buckets[rank] = None
+            low[b] = bits = bits & bits - 1
+            if not bits:
+                mid[a] = bits = mid[a] & mid[a] - 1
+                if not bits:
+                    top &= top - 1
+            if len(places) > 1:
+                places.sort()
+            offered = []
+            hold = -1  # up to here, a pair of a lower rank comes first
+            for i in places:
                 if current[i] != rank:
-                    continue  # stale
+                    continue  # stale: one of its parts has been merged meanwhile
+                if i < hold:
+                    offered.append((rank, i))
+                    continue
                 gone = after[i]
                 j = after[i] = after[gone]
                 current[gone] = current[i] = -1
-                lower = False
-                if j < n:
-                    before[j] = i
-                    end = after[j]
-                    if end - i <= longest and (found := ranks.get(piece[i:end])) is not None:
-                        current[i] = found
-                        queue.push(found, i)
-                        lower = found < rank
+                before[j] = i
+                end = after[j]
+                found = look_up(data[i:end]) if end - i <= longest else None
+                if found is not None:
+                    current[i] = found
+                    offered.append((found, i))
+                    if found < rank:
+                        hold = data.index(BORDER, i)
                 h = before[i]
                 if h >= 0:
-                    found = ranks.get(piece[h:j]) if j - h <= longest else None
-                    current[h] = -1
-                    if found is not None:
+                    found = look_up(data[h:j]) if j - h <= longest else None
+                    if found is None:
+                        current[h] = -1
+                    else:
                         current[h] = found
-                        queue.push(found, h)
-                        lower = lower or found < rank
-                if lower:
-                    for other in places[k + 1 :]:
-                        queue.push(rank, other)
-                    break
-        out, i = [], 0
+                        offered.append((found, h))
+                        if found < rank:
+                            hold = data.index(BORDER, i)
+        out, ids, i = [], [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            part = data[i : after[i]]
             i = after[i]
+            if part == BORDER:
+                out.append(ids)
+                ids = []
+            else:
+                ids.append(self.ranks[part])
         return out
 
-    def ids_of(self, piece: str) -> list[int]:
-        found = self.kept.get(piece)
-        if found is None:
-            found = self.merge(piece.encode())
-            if len(piece) <= KEPT_LENGTH:
-                if len(self.kept) >= MAX_KEPT:
-                    self.kept.clear()
-                self.kept[piece] = found
-        return found
-
-    def encode(self, text: str | None) -> Iterator[list[int]]:
-        """The ids of a text, in parts."""
-        pieces = (m.group() for m in self.find(text or ""))
+    def _merged(self, pieces: set[str]) -> Iterator[tuple[str, list[int]]]:
+        held, size = [], 0
+        for piece in sorted(pieces):
+            held.append(piece)
+            size += len(piece)
+            if size > BYTES_AT_ONCE:
+                yield from zip(held, self.merge([p.encode() for p in held]), strict=True)
+                held, size = [], 0
+        if held:
+            yield from zip(held, self.merge([p.encode() for p in held]), strict=True)
+
+    def _ids(self, cut: list[list[str]]) -> Iterator[list[int]]:
+        """The ids of some lists of pre-tokens."""
+        here = set().union(*cut)
+        new = here - self.kept.keys()
+        if len(self.kept) + len(new) > MAX_KEPT:
+            self.kept.clear()
+            new = here
+        for piece in new:
+            whole = self.ranks.get(piece.encode())
+            if whole is not None:
+                self.kept[piece] = [whole]
+        self.kept.update(self._merged(new - self.kept.keys()))
+        for pieces in cut:
+            yield list(chain.from_iterable(map(self.kept.__getitem__, pieces)))
+        for piece in new:
+            if len(piece) > KEPT_LENGTH:
+                del self.kept[piece]
+
+    def encode(self, texts: list[str | None]) -> Iterator[Iterable[list[int]]]:
+        """For each text its ids, in parts. A text's parts are to be taken before the next text's."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if held and size + len(text) > CHARS_AT_ONCE:
+                yield from ([ids] for ids in self._ids(held))
+                held, size = [], 0
+            if len(text) > CHARS_AT_ONCE:
+                yield self._in_parts(text)
+            else:
+                held.append(self.pattern.findall(text))
+                size += len(text)
+        yield from ([ids] for ids in self._ids(held))
+
+    def _in_parts(self, text: str) -> Iterator[list[int]]:
+        pieces = (m.group() for m in self.pattern.finditer(text))
         while part := list(islice(pieces, PIECES_AT_ONCE)):
-            yield list(chain.from_iterable(map(self.ids_of, part)))
+            yield from self._ids([part])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -183,7 +229,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                found = [np.concatenate([np.empty(0, np.int32), *[np.array(x, np.int32) for x in own.encode(t.as_py())]]) for t in part["text"]]
+                parts = ([np.empty(0, np.int32), *[np.array(x, np.int32) for x in ids]] for ids in own.encode(part["text"].to_pylist()))
+                found = [np.concatenate(p) for p in parts]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in names], ids], [*names, "ids"])
@@ -217,18 +264,20 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path, pattern)
         for batch in batches:
-            counts, names, texts = [], [], []
-            for text in batch["text"]:
-                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in own.encode(text.as_py()):
-                    of_ids.update(("," * (n > 0) + ",".join(map(own.names.__getitem__, ids))).encode())
-                    of_bytes.update(own.decode(ids))
-                    n += len(ids)
-                counts.append(n)
-                names.append(of_ids.hexdigest())
-                texts.append(of_bytes.hexdigest())
-            columns = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                counts, names, texts = [], [], []
+                for parts in own.encode(part["text"].to_pylist()):
+                    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in parts:
+                        of_ids.update(("," * (n > 0) + ",".join(map(own.names.__getitem__, ids))).encode())
+                        of_bytes.update(own.decode(ids))
+                        n += len(ids)
+                    counts.append(n)
+                    names.append(of_ids.hexdigest())
+                    texts.append(of_bytes.hexdigest())
+                columns = [part["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
