@@ -75,7 +75,7 @@ def by_length(vectors: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def exact_sums(x: np.ndarray) -> list[int]:
-    if len(x) and int(np.abs(x).max()) > (2**62) // len(x):
+    if len(x) and int(np.abs(x).max(initial=0)) > (2**62) // len(x):
         return [int(s) for s in x.astype(object).sum(axis=0)]
     return x.sum(axis=0).tolist()
 
@@ -127,7 +127,9 @@ def moments(fit: DataFrame, project: Callable[[np.ndarray], np.ndarray | None])
         yield state
 
     parts = fit.rdd.getNumPartitions()
-    return fit.rdd.mapPartitions(of_partition).treeReduce(merged_all, depth=max(2, (max(parts, 1) - 1).bit_length() // 3))
+    if not parts:  # an empty table's plan may have none
+        return {}
+    return fit.rdd.mapPartitions(of_partition).treeReduce(merged_all, depth=max(2, (parts - 1).bit_length() // 3))
 
 
 class Whitener:
