@@ -5,8 +5,8 @@
 
 Symbols are dealt to ``partitions`` tasks, and the pause between calls grows with their number, so the request rate is the
 same on any cluster. A symbol is read page by page: the next page starts a millisecond after the last
-candle; a start at or past the end, or an empty page, ends it. A symbol that fails is left out, with what it
-gave before; others go on. ``transport`` names a function
+candle; a start at or past the end, or an empty page, ends it. A symbol that fails, or gives a row
+that is no candle, is left out whole, so that no part of it can replace what is stored; others go on. A task so holds the candles of one symbol. ``transport`` names a function
 "module:function" that maps (url, parameters) to the decoded JSON; without it pages come by HTTP.
 """
 
@@ -19,6 +19,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from http.client import HTTPException
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,10 +88,11 @@ class KlineReader(DataSourceReader):
         fetch = transport(o.get("transport"))
         for symbol, start in partition.symbols:
             try:
-                for row in pages(fetch, o.get("url", ""), symbol, o.get("interval", "1d"), start, millis(o["end"]), partition.pause):
-                    yield candle(symbol, row)
-            except (OSError, ValueError):
-                continue  # no answer, or one that is no JSON
+                found = pages(fetch, o.get("url", ""), symbol, o.get("interval", "1d"), start, millis(o["end"]), partition.pause)
+                rows = [candle(symbol, row) for row in found]
+            except (OSError, HTTPException, ValueError, TypeError, LookupError):
+                continue  # no answer, one that is no JSON, or rows that are no candles
+            yield from rows
 
 
 class KlineSource(DataSource):

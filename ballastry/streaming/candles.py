@@ -30,15 +30,17 @@ def candles(ticks: DataFrame, width: str = "1 hour", late: str | None = None) ->
     )
 
 
-def merge_into(path: str):
+def merge_into(path: str, stream: str | None = None):
     """A foreachBatch function that merges each batch into the table at path by (symbol, open_time).
 
-    Each batch makes a version of its own number from the newest whole one before it, so a batch that is replayed,
-    or was cut off while it was written, ends the same.
+    The table notes the last batch of each stream, so a batch that is replayed changes nothing, and one that was cut off is written
+    again. stream names the source of the batches; by default it is the query's id, which its checkpoint keeps over restarts. A new
+    checkpoint is a new stream, whose batches 0, 1, ... are taken after all that is stored.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_version(batch, path, batch_id)
+        name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        merge_version(batch, path, batch=(name, batch_id))
 
     return write
 
