@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballastry.operators import kernels
 from ballastry.operators.metrics import cumulative
-from ballastry.operators.moments import quadratic
 
 HEATMAP = ["sharpe", "sortino", "calmar", "total_return_pct", "max_drawdown_pct", "annualized_vol_pct", "win_rate_pct", "avg_turnover"]
+#: Portfolios of a block of random draws.
+DRAWS = 1000
 LOWER_IS_BETTER = ["max_drawdown_pct", "annualized_vol_pct", "avg_turnover"]
 
 
@@ -92,13 +97,38 @@ def monte_carlo(means: DataFrame, cov: DataFrame, portfolios: int = 5000) -> Dat
 
 
 def monte_carlo_by_period(means: DataFrame, cov: DataFrame, portfolios: int = 5000) -> DataFrame:
-    """(period, portfolio, ret, vol, sharpe) over assets (period, symbol, mu); each period has the same draws."""
-    ids = means.sparkSession.range(portfolios).select(F.col("id").alias("portfolio"))
-    raw = ids.crossJoin(F.broadcast(means)).withColumn("u", hashed_unit(F.col("portfolio"), F.col("symbol")))  # means: a row an asset and period
-    w = raw.withColumn("weight", F.col("u") / F.sum("u").over(Window.partitionBy("period", "portfolio")))
-    gain = w.groupBy("period", "portfolio").agg(F.sum(F.col("weight") * F.col("mu")).alias("ret"))
-    var = quadratic(w.select("period", "portfolio", "symbol", "weight"), cov, ["period", "portfolio"])
-    return gain.join(var, ["period", "portfolio"]).select("period", "portfolio", "ret", F.sqrt("var").alias("vol"), F.try_divide("ret", F.sqrt("var")).alias("sharpe"))
+    """(period, portfolio, ret, vol, sharpe) over assets (period, symbol, mu); each period has the same draws.
+
+    Draws are made once for each distinct universe, in blocks of DRAWS portfolios; a row then holds a period, a block and the period's covariances,
+    and gives its portfolios by one matrix product. Pairs without a covariance count as 0.
+    """
+    spark = means.sparkSession
+    own = means.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("symbol", "mu"))).alias("own"))
+    own = own.select("period", F.col("own.symbol").alias("names"), F.col("own.mu").alias("mu"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(max(portfolios - 1, 0) // DRAWS).cast("long"))
+    drawn = own.select("names").distinct().select("names", F.explode(blocks).alias("block"))
+    drawn = drawn.repartition(spark.sparkContext.defaultParallelism, "names", "block")  # small rows, much work each
+    ids = F.sequence(F.col("block") * DRAWS, F.least((F.col("block") + 1) * DRAWS, F.lit(portfolios).cast("long")) - 1)
+    drawn = drawn.select("names", F.col("block"), F.transform(ids, lambda k: F.transform("names", lambda s: hashed_unit(k, s))).alias("u"))
+    pairs = cov.groupBy("period").agg(F.collect_list(F.struct("i", "j", "cov")).alias("c"))
+    pairs = pairs.select("period", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.cov").alias("cov"))
+    rows = own.join(pairs, "period").join(drawn, "names").where(F.lit(portfolios > 0))
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                place = {s: k for k, s in enumerate(r.names)}
+                matrix = np.zeros((len(place), len(place)))
+                for i, j, c in zip(r.i, r.j, r.cov, strict=True):
+                    if i in place and j in place:
+                        matrix[place[i], place[j]] = matrix[place[j], place[i]] = c
+                w = np.stack(r.u)
+                w = w / w.sum(axis=1, keepdims=True)
+                first = r.block * DRAWS
+                yield pd.DataFrame({"period": r.period, "portfolio": np.arange(first, first + len(w)), "ret": w @ np.asarray(r.mu), "vol": np.sqrt(((w @ matrix) * w).sum(axis=1))})
+
+    out = rows.select("period", "block", "names", "mu", "i", "j", "cov", "u").mapInPandas(measured, "period long, portfolio long, ret double, vol double")
+    return out.select("period", "portfolio", "ret", "vol", F.try_divide("ret", "vol").alias("sharpe"))
 
 
 def frontier_ends(frontier: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -169,11 +169,15 @@ k0 AS (SELECT symbol, open_time, close, 0::BIGINT AS version FROM k WHERE hour(o
 k1 AS (SELECT symbol, open_time, close, 1::BIGINT AS version FROM k WHERE hour(open_time) >= 12 AND symbol < 'm')"""
 MC = """
 mu AS (SELECT p, symbol, avg(r) AS mu FROM tr JOIN uni USING (p, symbol) GROUP BY 1, 2),
-rows AS (SELECT p, i AS symbol, list(c ORDER BY j) AS row FROM cov GROUP BY 1, 2),
-mc0 AS (SELECT n AS portfolio, symbol, ('0x' || substr(md5(n || ':' || symbol), 1, 8))::BIGINT / 4294967296.0 AS u FROM range(5000) z(n), (SELECT DISTINCT symbol FROM mu)),
-mc1 AS (SELECT p, portfolio, list(symbol ORDER BY symbol) AS names, list(u ORDER BY symbol) AS u, list(mu ORDER BY symbol) AS mu FROM mc0 JOIN mu USING (symbol) GROUP BY 1, 2),
-mc2 AS (SELECT p, portfolio, sum(u[k] * list_dot_product(row, u)) AS q FROM (SELECT p, portfolio, u, unnest(names) AS symbol, unnest(range(1, len(names) + 1)) AS k FROM mc1) JOIN rows USING (p, symbol) GROUP BY 1, 2),
-mc AS (SELECT p, portfolio, list_dot_product(mu, u) / list_sum(u) AS ret, sqrt(q) / list_sum(u) AS vol, list_dot_product(mu, u) / sqrt(q) AS sharpe FROM mc1 JOIN mc2 USING (p, portfolio))"""
+own AS (SELECT p, list(symbol ORDER BY symbol) AS names, list(mu ORDER BY symbol) AS mu FROM mu GROUP BY 1),
+mat AS (SELECT p, list(row ORDER BY i) AS mat FROM (SELECT p, i, list(c ORDER BY j) AS row FROM cov GROUP BY 1, 2) GROUP BY 1),
+draws AS MATERIALIZED (
+  SELECT names, n AS portfolio, list_transform(names, lambda s: ('0x' || substr(md5(n || ':' || s), 1, 8))::BIGINT / 4294967296.0) AS u
+  FROM (SELECT DISTINCT names FROM own), range(5000) z(n)),
+mc0 AS (
+  SELECT own.p, portfolio, mu, u, list_sum(list_transform(list_zip(u, mat), lambda z: z[1] * list_dot_product(z[2], u))) AS q
+  FROM own JOIN draws USING (names) JOIN mat ON mat.p = own.p),
+mc AS (SELECT p, portfolio, list_dot_product(mu, u) / list_sum(u) AS ret, sqrt(q) / list_sum(u) AS vol, list_dot_product(mu, u) / sqrt(q) AS sharpe FROM mc0)"""
 
 
 def _weights(table: str, column: str) -> str:
