@@ -105,7 +105,8 @@ class Windows:
         t = F.col("t_idx")
         first = F.greatest(F.lit(0), F.ceil((t - self.train) / self.step)).cast("long")
         last = F.least(F.lit(self.periods - 1), F.ceil(t / self.step) - 1).cast("long")
-        fits = (t >= 1) & (t <= (self.periods - 1) * self.step + self.train)
+        # where windows leave dates out (train < step), those dates have first > last
+        fits = (t >= 1) & (t <= (self.periods - 1) * self.step + self.train) & (first <= last)
         return rows.where(fits).withColumn("period", F.explode(F.sequence(first, last)))
 
     def testing(self, rows: DataFrame) -> DataFrame:

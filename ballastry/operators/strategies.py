@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ballastry.functions.numeric import YEAR, compounded, growth
 from ballastry.operators import kernels
-from ballastry.operators.moments import covariances
+from ballastry.operators.blocks import merged_covariances
 from ballastry.operators.panel import Windows, universe
 from ballastry.session import kept
 
@@ -53,7 +53,7 @@ class Market:
     @cached_property
     def cov(self) -> DataFrame:
         """Kept, because kernels and quadratic forms of all strategies read it."""
-        return kept(covariances(self.rets, self.windows))
+        return kept(merged_covariances(self.rets, self.windows))
 
     def formation(self, rows: int) -> Column:
         """Whether a training row is in the formation window: `rows` rows, the last one left out.

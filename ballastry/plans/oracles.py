@@ -234,6 +234,11 @@ ORACLES = {
     "hrp_linkage": sql("SELECT DISTINCT p AS period, (step - 1)::BIGINT AS step, ml AS \"left\", mg AS \"right\", round(md, 8) + 0.0 AS dist, ms AS size FROM st WHERE step > 0", TREE),
     "hrp_leaf_order": sql("SELECT u.p AS period, u.s AS symbol, o.pos::BIGINT AS pos FROM o JOIN u USING (p, id)", TREE),
     "hrp_weights": sql("SELECT p AS period, symbol, round(weight, 8) + 0.0 AS weight FROM hrp", TREE),
+    "hrp_nodes": sql(
+        "SELECT c.p AS period, c.node, g.lo, g.hi - g.lo AS n_leaves, round(c.v, 10) + 0.0 AS variance, round(al.f, 10) + 0.0 AS share FROM cvar c JOIN seg g USING (p, node) LEFT JOIN al USING (p, node)",
+        TREE,
+    ),
+    "hrp_path_weights": sql("SELECT p AS period, symbol, round(weight, 8) + 0.0 AS weight FROM hrp", TREE),
     "mvp_weights": sql("SELECT p AS period, symbol, round(weight, 8) + 0.0 AS weight FROM mvp", MVP),
     "hrp_cluster_var": sql("SELECT a.p AS period, round(sum(a.w * b.w * c), 10) + 0.0 AS cluster_var FROM ivp a JOIN ivp b ON a.p = b.p JOIN cov ON cov.p = a.p AND i = a.symbol AND j = b.symbol GROUP BY 1"),
     "csm_scores": sql("SELECT p AS period, symbol, round(score, 8) + 0.0 AS score FROM sc"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ballastry.operators import analysis, backtest, kernels, metrics, moments, panel, strategies, transition
+from ballastry.operators import analysis, backtest, hierarchy, kernels, metrics, moments, panel, strategies, transition
 from ballastry.plans.panels import load, market
 from ballastry.plans.panels import panel as prices_of
 from ballastry.schema import STABLE_PAIRS
@@ -191,6 +191,25 @@ def hrp_cluster_var(spark, sf_dir):
     return rounded(moments.quadratic(strategies.inverse_variance(m), m.cov, ["period"]).withColumnRenamed("var", "cluster_var"), 10)
 
 
+def bisected(spark, sf_dir):
+    """Paths of all assets in the clustering's order, and all nodes of the bisection."""
+    m = market(spark, sf_dir)
+    paths = kept(hierarchy.bisection_paths(kernels.hrp_by_period(m.cov).select("period", "symbol", "pos")))
+    return paths, hierarchy.bisection_nodes(paths, m.cov)
+
+
+@query
+def hrp_nodes(spark, sf_dir):
+    """Variance and share of every cluster of the bisection, by period."""
+    return rounded(bisected(spark, sf_dir)[1], 10)
+
+
+@query
+def hrp_path_weights(spark, sf_dir):
+    """Hierarchical weights as products of shares along the paths."""
+    return rounded(hierarchy.bisection_weights(*bisected(spark, sf_dir)))
+
+
 @query
 def csm_scores(spark, sf_dir):
     return rounded(market(spark, sf_dir).scores().select("period", "symbol", "score"))
