@@ -66,6 +66,54 @@ def leaf_order(n: int, merges: list[tuple[int, int, float, int]]) -> list[int]:
     return next(iter(order.values())) if n else []
 
 
+def shortest_order(dist: np.ndarray, merges: list[tuple[int, int, float, int]]) -> list[int]:
+    """The leaf order of the tree, over all flips of its clusters, whose neighbours' distances have the least sum.
+
+    best[u, w] is the least length of a cluster's order that starts at u and ends at w; each pair of leaves is cut apart
+    by one cluster alone, so one matrix holds all clusters. Of equal lengths the smaller ids are taken, from the root down.
+    """
+    n = len(dist)
+    if n < 2:
+        return list(range(n))
+    parts: dict[int, tuple[int, int]] = {n + k: (left, right) for k, (left, right, _, _) in enumerate(merges)}
+    leaves = {k: [k] for k in range(n)}
+    best = np.zeros((n, n))
+
+    def ends(node: int) -> np.ndarray:
+        """Lengths by (start, end) of a cluster's leaves; inf where no order has these ends."""
+        own = leaves[node]
+        if node < n:
+            return np.zeros((1, 1))
+        first = np.isin(own, leaves[parts[node][0]])
+        return np.where(first[:, None] != first[None, :], best[np.ix_(own, own)], np.inf)
+
+    for node, (left, right) in parts.items():
+        x, y = leaves[left], leaves[right]
+        leaves[node] = sorted(x + y)
+        from_left, to_right, between = ends(left), ends(right), dist[np.ix_(x, y)]
+        across = np.stack([(row[:, None] + between).min(axis=0) for row in from_left])
+        best[np.ix_(x, y)] = np.stack([(row[:, None] + to_right).min(axis=0) for row in across])
+        best[np.ix_(y, x)] = best[np.ix_(x, y)].T
+
+    def walk(root: int) -> list[int]:
+        whole = ends(root)
+        u, w = np.unravel_index(np.argmin(whole), whole.shape)
+        todo, out = [(root, leaves[root][u], leaves[root][w])], []
+        while todo:
+            node, start, end = todo.pop()
+            if node < n:
+                out.append(node)
+                continue
+            left, right = parts[node] if start in leaves[parts[node][0]] else parts[node][::-1]
+            x, y = leaves[left], leaves[right]
+            total = ends(left)[x.index(start)][:, None] + dist[np.ix_(x, y)] + ends(right)[:, y.index(end)][None, :]
+            m, k = np.unravel_index(np.argmin(total), total.shape)
+            todo += [(right, y[k], end), (left, start, x[m])]
+        return out
+
+    return walk(2 * n - 2)
+
+
 def bisected(cov: np.ndarray, order: list[int]) -> np.ndarray:
     """Weights by halving the order and sharing by inverse cluster variance."""
     weights = np.ones(len(cov))
@@ -134,6 +182,19 @@ def hrp_by_period(cov: DataFrame) -> DataFrame:
     return cov.groupBy("period").applyInPandas(run, "period long, symbol string, pos long, weight double")
 
 
+def shortest_order_by_period(cov: DataFrame) -> DataFrame:
+    """(period, symbol, pos, gap): leaves in the shortest order of the tree; gap is the distance to the leaf before, null for the first."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, c = square(pdf)
+        d = distances(c)
+        order = shortest_order(d, single_linkage(d))
+        gaps = [None, *(float(d[a, b]) for a, b in zip(order, order[1:], strict=False))]
+        return pd.DataFrame({"period": pdf["period"].iloc[0], "symbol": [names[k] for k in order], "pos": range(len(order)), "gap": gaps})
+
+    return cov.groupBy("period").applyInPandas(run, "period long, symbol string, pos long, gap double")
+
+
 def linkage_by_period(cov: DataFrame) -> DataFrame:
     """(period, step, left, right, dist, size) of the tree."""
 

@@ -191,6 +191,12 @@ def hrp_cluster_var(spark, sf_dir):
     return rounded(moments.quadratic(strategies.inverse_variance(m), m.cov, ["period"]).withColumnRenamed("var", "cluster_var"), 10)
 
 
+@query
+def cluster_plot_order(spark, sf_dir):
+    """The order of a cluster plot: of all orders that the tree allows, the one with the nearest neighbours."""
+    return rounded(kernels.shortest_order_by_period(market(spark, sf_dir).cov))
+
+
 def bisected(spark, sf_dir):
     """Paths of all assets in the clustering's order, and all nodes of the bisection."""
     m = market(spark, sf_dir)
