@@ -67,9 +67,30 @@ class Node:
         self.tag, self.attrs, self.kids, self.hash = tag, attrs, [], 0
 
 
+class _Open:
+    """The open elements, and where on the stack those of each name are, so that stray tags search nothing."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack: list[Node] = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, tags: Collection[str], within: Collection[str]) -> None:
+        """Closes the innermost element named in tags with all inside it, unless one named in within is further in."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if at == 0 or any(self.places[t][-1] > at for t in within if self.places.get(t)):
+            return
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+
 def parse(text: str) -> Node:
     root = Node("#root", "")
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     at, end = 0, len(text)
 
     def words(a: int, b: int) -> None:
@@ -87,15 +108,12 @@ def parse(text: str) -> Node:
             continue  # a comment, a declaration, or a tag that the page's end cuts off
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            opened.close({tag}, set())
             continue
         if tag in BLOCKS:
-            _end(stack, {"p"}, {"button", "table", "td", "th", "article", "section", "div", "main", "body"})
+            opened.close({"p"}, {"button", "table", "td", "th", "article", "section", "div", "main", "body"})
         if tag in ENDS:
-            _end(stack, *ENDS[tag])
+            opened.close(*ENDS[tag])
         node = Node(tag, m[3])
         stack[-1].kids.append(node)
         if tag in VOID:
@@ -105,19 +123,10 @@ def parse(text: str) -> Node:
             node.kids.append(text[at : close.start() if close else end])
             at = close.end() if close else end
         elif not m[3].endswith("/") or tag in BLOCKS:
-            stack.append(node)
+            opened.push(node)
     return root
 
 
-def _end(stack: list[Node], tags: set[str], within: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in within:
-            return
-
-
 def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
     """All elements before their parents, and whether each is inside an article."""
     todo, out = [(root, False)], []

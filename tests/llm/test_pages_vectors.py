@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 
 from ballastry.llm import cap_filters, html_text, url_reputation
@@ -118,6 +120,20 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_stray_tags_are_linear():
+    many = 150_000
+    for page in ("<b>" * many + "</i>" * many, "<b><p>x</i>" * many, "<li>x</ul>" * many):
+        start = time.perf_counter()
+        html_text.parse(page)
+        assert time.perf_counter() - start < 10  # a search of the stack for each tag takes over half an hour
+
+
+def test_closing_tags_find_the_innermost():
+    assert html_text.main_text("<article><div><p>a<b>b</div><p>c</i>d</article>") == "ab\ncd"
+    assert html_text.main_text("<article><ul><li>a<ul><li>b<li>c</ul><li>d</ul></article>").split("\n") == ["a", "b", "c", "d"]
+    assert html_text.main_text("<article><p>a<p>b</p></p>c</article>") == "a\nb\nc"
+
+
 def test_templates(spark):
     strip = "<div><span>Latest: call us now</span></div>"
     pages = [(k, f"http://a.org/{k}", f"<body>{strip}<p>own text {k}</p></body>") for k in range(12)]
