@@ -4,7 +4,7 @@ Every text is split at line feeds. A line's key is the line without white space
 with A-Z lower-cased. Keys that at least ``min_docs`` documents hold are dropped everywhere; the
 lines that stay are put together again by position.
 
-Plan: the keys are hashed inside the scan, so no line text is shuffled for counting. Distinct
+Plan: lines are rows before their keys are hashed, so that generated code does it; the keys are hashed inside the scan, so no line text is shuffled for counting. Distinct
 (hash, document) pairs are counted per hash with map-side combining. The join with the frequent
 hashes is salted, because one line may be in a third of all documents. It carries positions only;
 the texts move once, for the join with the positions to drop.
@@ -17,6 +17,8 @@ Other columns pass through, whatever their names, except those that this module
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,39 +28,33 @@ SALTS = 64
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def _trimmed(line: Column) -> Column:
+    """The line without white space at its ends; most lines have none there, and a look at two characters costs less than btrim."""
+    at_end = [test(c) for c in SPACE for test in (line.startswith, line.endswith)]
+    return F.when(reduce(Column.__or__, at_end), F.btrim(line, F.lit(SPACE))).otherwise(line)
+
+
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
+    return ascii_lower(_trimmed(line))
 
 
-def _hashed(line: Column) -> Column:
-    """96 bits that stand for a key; null for the empty key."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("h"), F.hash(key).alias("g")))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """lines with 96 bits that stand for the key of ``_ld_line``, without rows of empty keys."""
+    key = line_key(F.col("_ld_line"))
+    return lines.where(_trimmed(F.col("_ld_line")) != "").withColumns({"h": F.xxhash64(key), "g": F.hash(key)}).drop("_ld_line")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """The hashes (h, g) of the keys that at least min_docs documents hold, with n_docs."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return (
-        docs.select(F.col("doc_id").alias("_ld_id"), F.explode(F.array_distinct(F.transform(lines, _hashed))).alias("_ld_k"))
-        .where("_ld_k is not null")
-        .select(F.col("_ld_k.h").alias("h"), F.col("_ld_k.g").alias("g"), "_ld_id")
-        .distinct()
-        .groupBy("h", "g")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs)
-    )
+    lines = docs.select(F.col("doc_id").alias("_ld_id"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_ld_line"))
+    return _hashed(lines).distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """docs with ``text`` cleaned (a null one becomes empty), and _ld_n_lines, _ld_n_dropped."""
     base = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_ld_key", F.xxhash64("text"))
-    positions = base.select(
-        F.col("doc_id").alias("_ld_id"), "_ld_key", F.posexplode(F.transform(F.split("text", "\n", -1), _hashed)).alias("_ld_pos", "_ld_k")
-    ).where("_ld_k is not null")
-    positions = positions.select(
-        "_ld_id", "_ld_key", "_ld_pos", F.col("_ld_k.h").alias("h"), F.col("_ld_k.g").alias("g"), F.pmod(F.hash("_ld_key", "_ld_pos"), F.lit(SALTS)).alias("salt")
-    )
+    lines = base.select(F.col("doc_id").alias("_ld_id"), "_ld_key", F.posexplode(F.split("text", "\n", -1)).alias("_ld_pos", "_ld_line"))
+    positions = _hashed(lines).withColumn("salt", F.pmod(F.hash("_ld_key", "_ld_pos"), F.lit(SALTS)))
     frequent = frequent_lines(docs, min_docs).select("h", "g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     drops = (
         positions.join(frequent, ["h", "g", "salt"])

@@ -10,6 +10,7 @@ import zlib
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from ballastry.llm import decontaminate, hilbert_shards, language_id, line_dedup, ngram_jaccard, piece_dropout, token_files
 from compare import differences
@@ -120,6 +121,16 @@ def components(sets, ids):
     return {ids[k]: least[find(k)] for k in range(len(sets))}
 
 
+def test_line_keys_are_hashed_by_generated_code(spark):
+    """Keys against plain Python, with all white space at either end; no higher-order function, which is interpreted, makes them."""
+    lines = [a + core + b for core in ("", "x", "A b", "É Ü", "\x1cq", "\u00a0") for a in ("", *line_dedup.SPACE, " \t\r") for b in ("", *line_dedup.SPACE, "\x0b\x0c ")]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", line_dedup.line_key(F.col("t")).alias("k")).collect()
+    assert all(r["k"] == lower(r["t"].strip(" \t\n\x0b\x0c\r")) for r in rows) and len(rows) == len(lines)
+    for made in (line_dedup.frequent_lines(documents(spark, ["a\nb"])), line_dedup.dedup_lines(documents(spark, ["a\nb"])).select("_ld_n_dropped")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64" in plan and "transform(" not in plan and "array_distinct" not in plan
+
+
 def test_ngram_jaccard(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
