@@ -14,8 +14,9 @@ Steps, all on classes of documents with equal sets:
    a group of near copies is next to their source. That is linear in the rows however large a group is.
    Pairs that pass the filters and the check join most of each group of copies.
 3. Tokens whose classes are in one component by now are dropped; a pair inside one component cannot change
-   the components. While tokens of the rest are crowded, a turn pairs each of their rows with another pivot and with the few rows
-   of a small random group of its token, which is linear as well.
+   the components. While tokens of the rest are crowded on the whole, a turn pairs each row of those with more than ``CROWDED`` rows with another pivot and
+   with the few rows of a small random group of its token, which is linear as well. Rows of other tokens stay where they are;
+   their pairs that a turn has joined are dropped as pairs in the next step.
 4. Of what is left, all pairs from different components are taken whose sizes and places of the token allow the similarity:
    if it is the first token that they share, what follows it bounds their overlap. The smaller set's place must be in its first
    seventh, and a pair is left to an earlier crowded token if it shares one of the last ``BEFORE``.
@@ -50,7 +51,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -404,6 +405,18 @@ def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(mixed.select(F.col("token").alias("t"), "m"), F.col("token") == F.col("t")).drop("t")
 
 
+def _sizes(rows: DataFrame) -> Row:
+    """n, the number of rows, and m, the sum of theirs."""
+    return rows.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count(F.lit(1)).alias("n")).first()
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs that are not in one component by now."""
+    one, two = (joined.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"comp_{x}")) for x in "ab")
+    placed = pairs.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+    return placed.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*PAIR)
+
+
 def _with_pivots(rows: DataFrame, by: Column) -> DataFrame:
     """Every row beside its token's pivot, the row of the largest value of by."""
     pivot = rows.groupBy("token").agg(F.max(F.struct(by.alias("by"), *SIDE)).alias("p"))
@@ -460,17 +473,21 @@ def jaccard_components(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     rows = gathered(rows)
     links = gathered(verify(_possible_pairs(_with_pivots(rows, F.col("level"))), docs, classes))
     rows = gathered(_mixed(rows, components(links)))
+    rest, crowd = rows.where(F.col("m") <= CROWDED), rows.where(F.col("m") > CROWDED)
+    joined, few, many = None, _sizes(rest), _sizes(crowd)
     for turn in range(TURNS):
-        crowd = rows.agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n")).first()
-        if (crowd["m"] or 0) <= CROWDED * crowd["n"]:
+        if few["m"] + many["m"] <= CROWDED * (few["n"] + many["n"]):
             break
-        ends = _with_pivots(rows, F.xxhash64("cls", F.lit(turn))).unionByName(_with_few(rows, turn))
+        ends = _with_pivots(crowd, F.xxhash64("cls", F.lit(turn))).unionByName(_with_few(crowd, turn))
         found = gathered(verify(_possible_pairs(ends), docs, classes))
         links = gathered(links.unionByName(found))
-        rows = gathered(_mixed(rows, components(links)))
-        if found.count() * 100 < crowd["n"]:
+        joined = components(links)
+        crowd, before = gathered(_mixed(crowd, joined)), many
+        many = _sizes(crowd)
+        if found.count() * 100 < before["n"]:
             break
-    links = links.unionByName(verify(_possible_pairs(_with_all(rows)), docs, classes))
+    pairs = _possible_pairs(_with_all(rest.unionByName(crowd)))
+    links = links.unionByName(verify(pairs if joined is None else _apart(pairs, joined), docs, classes))
     joined = checkpointed(components(links))
 
     groups = reps.join(joined, reps["cls"] == joined["node"], "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))

@@ -379,3 +379,29 @@ def test_crowded_tokens_by_brute_force(spark, monkeypatch, crowded):
     want = components([shingles(t) for t in texts], ids)
     got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(documents(spark, texts, ids)).collect()}
     assert got == want and 5 < len(set(want.values())) < 145
+
+
+def test_turns_move_rows_of_crowded_tokens_only(spark, monkeypatch):
+    """A crowded group beside small ones: links as by brute force, and turns leave the small groups' rows where they are."""
+    monkeypatch.setattr(ngram_jaccard, "CROWDED", 6)
+    seen, mixed = [], ngram_jaccard._mixed
+
+    def counted(rows, joined):
+        seen.append(rows.select("m").collect() if "m" in rows.columns else None)
+        return mixed(rows, joined)
+
+    monkeypatch.setattr(ngram_jaccard, "_mixed", counted)
+    rng = random.Random(12)
+    texts = []
+    for group, size in [(0, 120), *[(g, 4) for g in range(1, 30)]]:
+        source = [f"w{group}x{k}" for k in range(60)]
+        for _ in range(size):
+            own = list(source[: rng.choice([50, 55, 60])])
+            for place in rng.sample(range(len(own)), rng.choice([0, 1, 2, 2, 3])):
+                own[place] = rng.choice("uv")
+            texts.append(" ".join(own))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(documents(spark, texts, ids)).collect()}
+    assert got == components([shingles(t) for t in texts], ids)
+    assert seen[0] is None and len(seen) > 1 and all(r["m"] > 6 for r in seen[1])
