@@ -8,7 +8,8 @@ whether any of 64 words below has. Find-first-set from the top gives the next ra
 skipped when taken. A bucket is taken whole and its places are merged from left to right; if a merge offers a rank
 below the bucket's, the rest of that pre-token goes back first. Many short pre-tokens share one run of the queue, with borders between them. A pre-token of n bytes so takes about n steps, where scans of all pairs take n squared.
 
-Plan: one scan, no shuffle. A worker keeps the ids of up to ``MAX_KEPT`` short pre-tokens and starts that table anew beyond; texts of up to
+Plan: one scan, no shuffle. Under the pattern ``AT_SPACES`` texts are first cut where white space follows other characters, which is cheaper than the pattern,
+and only pieces that are new to the worker are cut by the pattern. A worker keeps the ids of up to ``MAX_KEPT`` short pieces and pre-tokens and starts that table anew beyond; texts of up to
 ``CHARS_AT_ONCE`` characters together are worked off at once, a longer one ``PIECES_AT_ONCE`` pre-tokens at a time, so only its ids (4 bytes each) and one part of it are held.
 
 Defined results: a null text is encoded as the empty text, which has no ids and decodes to no bytes; null ids decode to null. Ids that are null
@@ -21,7 +22,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ballastry.llm.common import table
+from ballastry.llm.token_files import PIECES
 
-MAX_KEPT = 400_000
+MAX_KEPT = 900_000
 KEPT_LENGTH = 64
 CHARS_AT_ONCE = 1 << 20
 PIECES_AT_ONCE = 1 << 16
@@ -40,6 +43,10 @@ BYTES_AT_ONCE = 1 << 17
 BORDER = b"\xff"
 
 
+#: A pattern none of whose pre-tokens has white space after another character: so the borders of PIECES, which has the same white space, are borders of its own.
+AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class RankQueue:
     """Empty buckets for places by rank, and bitmaps that find the lowest rank with places: a bit a rank, and a bit a word below.
 
@@ -70,9 +77,11 @@ class RankModel:
         self.bytes: list[bytes | None] = [None] * size
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        self.names = [str(rank) for rank in range(size)]
+        self.decimals = np.array([b"%d," % rank for rank in range(size)])
         self.queue = RankQueue(size)
-        self.kept: dict[str, list[int]] = {}
+        self.at_spaces = pattern == AT_SPACES
+        self.cut = PIECES if self.at_spaces else self.pattern
+        self.kept: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token; all are worked off in one queue, since no pair goes over a border."""
@@ -155,36 +164,46 @@ class RankModel:
                 ids.append(self.ranks[part])
         return out
 
-    def _merged(self, pieces: set[str]) -> Iterator[tuple[str, list[int]]]:
+    def _merged(self, tokens: set[str]) -> Iterator[tuple[str, list[int]]]:
         held, size = [], 0
-        for piece in sorted(pieces):
-            held.append(piece)
-            size += len(piece)
+        for token in sorted(tokens):
+            held.append(token)
+            size += len(token)
             if size > BYTES_AT_ONCE:
-                yield from zip(held, self.merge([p.encode() for p in held]), strict=True)
+                yield from zip(held, self.merge([t.encode() for t in held]), strict=True)
                 held, size = [], 0
         if held:
-            yield from zip(held, self.merge([p.encode() for p in held]), strict=True)
+            yield from zip(held, self.merge([t.encode() for t in held]), strict=True)
+
+    def _keep_tokens(self, tokens: set[str]) -> None:
+        for token in tokens:
+            whole = self.ranks.get(token.encode())
+            if whole is not None:
+                self.kept[token] = whole.to_bytes(4, "little")
+        for token, ids in self._merged(set(filterfalse(self.kept.__contains__, tokens))):
+            self.kept[token] = pack(f"<{len(ids)}i", *ids)
 
-    def _ids(self, cut: list[list[str]]) -> Iterator[list[int]]:
-        """The ids of some lists of pre-tokens."""
-        here = set().union(*cut)
-        new = here - self.kept.keys()
+    def _ids(self, cut: list[list[str]], whole: bool = False) -> Iterator[np.ndarray]:
+        """The ids of some lists of pieces, which are pre-tokens if whole is true."""
+        new = set(filterfalse(self.kept.__contains__, chain.from_iterable(cut)))
         if len(self.kept) + len(new) > MAX_KEPT:
             self.kept.clear()
-            new = here
-        for piece in new:
-            whole = self.ranks.get(piece.encode())
-            if whole is not None:
-                self.kept[piece] = [whole]
-        self.kept.update(self._merged(new - self.kept.keys()))
+            new = set(chain.from_iterable(cut))
+        long = {p for p in new if len(p) > KEPT_LENGTH}
+        if self.at_spaces and not whole:
+            found = {piece: self.pattern.findall(piece) for piece in new}
+            tokens = set(filterfalse(self.kept.__contains__, chain.from_iterable(found.values())))
+            long |= {t for t in tokens if len(t) > KEPT_LENGTH}
+            self._keep_tokens(tokens)
+            self.kept.update([(piece, b"".join(map(self.kept.__getitem__, parts))) for piece, parts in found.items() if len(parts) > 1])
+        else:
+            self._keep_tokens(new)
         for pieces in cut:
-            yield list(chain.from_iterable(map(self.kept.__getitem__, pieces)))
-        for piece in new:
-            if len(piece) > KEPT_LENGTH:
-                del self.kept[piece]
+            yield np.frombuffer(b"".join(map(self.kept.__getitem__, pieces)), "<i4")
+        for piece in long:
+            self.kept.pop(piece, None)
 
-    def encode(self, texts: list[str | None]) -> Iterator[Iterable[list[int]]]:
+    def encode(self, texts: list[str | None]) -> Iterator[Iterable[np.ndarray]]:
         """For each text its ids, in parts. A text's parts are to be taken before the next text's."""
         held: list[list[str]] = []
         size = 0
@@ -196,14 +215,19 @@ class RankModel:
             if len(text) > CHARS_AT_ONCE:
                 yield self._in_parts(text)
             else:
-                held.append(self.pattern.findall(text))
+                held.append(self.cut.findall(text))
                 size += len(text)
         yield from ([ids] for ids in self._ids(held))
 
-    def _in_parts(self, text: str) -> Iterator[list[int]]:
-        pieces = (m.group() for m in self.pattern.finditer(text))
-        while part := list(islice(pieces, PIECES_AT_ONCE)):
-            yield from self._ids([part])
+    def _in_parts(self, text: str) -> Iterator[np.ndarray]:
+        tokens = (m.group() for m in self.pattern.finditer(text))
+        while part := list(islice(tokens, PIECES_AT_ONCE)):
+            yield from self._ids([part], True)
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """The ids in decimals, each with a comma after it."""
+        digits = self.decimals[ids].view(np.uint8)
+        return digits[digits != 0].tobytes()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -229,7 +253,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                parts = ([np.empty(0, np.int32), *[np.array(x, np.int32) for x in ids]] for ids in own.encode(part["text"].to_pylist()))
+                parts = ([np.empty(0, np.int32), *ids] for ids in own.encode(part["text"].to_pylist()))
                 found = [np.concatenate(p) for p in parts]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))
@@ -270,8 +294,9 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for parts in own.encode(part["text"].to_pylist()):
                     n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
                     for ids in parts:
-                        of_ids.update(("," * (n > 0) + ",".join(map(own.names.__getitem__, ids))).encode())
-                        of_bytes.update(own.decode(ids))
+                        if len(ids):
+                            of_ids.update(b"," * (n > 0) + own.written(ids)[:-1])
+                        of_bytes.update(own.decode(ids.tolist()))
                         n += len(ids)
                     counts.append(n)
                     names.append(of_ids.hexdigest())

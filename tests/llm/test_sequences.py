@@ -71,6 +71,26 @@ def test_byte_pairs_of_long_and_odd_texts(monkeypatch, at_once):
         assert model.decode(ids) == (text or "").encode()
 
 
+def test_pieces_are_cut_by_the_pattern_once():
+    """Texts of pieces that the worker knows are not cut by the pattern again, and any border at white space is one of the pattern's."""
+    own, model = _tiktoken(), byte_pairs.RankModel(*_vocabulary())
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(" \n\t\r\u00a0\u3000\x1c\x85aÉ中'sd1²!._\U0001f600", k=60)) for _ in range(400)]
+
+    def encoded():
+        return [[i for part in parts for i in part] for parts in model.encode(texts)]
+
+    assert encoded() == [own.encode_ordinary(t) for t in texts]
+
+    class Never:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    model.pattern = Never()
+    kept = [t for t in texts if all(len(p) <= byte_pairs.KEPT_LENGTH for p in model.cut.findall(t))]
+    assert kept and [[i for part in parts for i in part] for parts in model.encode(kept)] == [own.encode_ordinary(t) for t in kept]
+
+
 def _by_scans(ranks, piece):
     """Merges by looking at all pairs for each merge."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
