@@ -63,6 +63,7 @@ PERCENT = 75
 ORDERS = 3
 BITS = 24
 HOT = 8
+CHANCE = 3
 TOKENS_AT_ONCE = 1 << 22
 SALT_FROM = 12
 SEEN = 500_000
@@ -238,8 +239,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
 
+def stand_out(counts: np.ndarray) -> np.ndarray:
+    """log2 of what each bin has over the median bin, where that is ``HOT`` at least and more than chance gives; else 0.
+
+    Rare tokens fill the bins evenly, so a frequent token shows as an excess of a few times the square root of a bin's count.
+    """
+    usual = float(np.median(counts))
+    over = counts - usual
+    levels = np.frexp(np.maximum(over, 1))[1] - 1
+    return np.where(over >= max(HOT, CHANCE * usual**0.5), levels, 0).astype(np.int8)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The levels of whole blocks' sums, and the sum of each block."""
+    """The levels of whole blocks' sums."""
     sums: dict[int, np.ndarray] = {}
     size = min(1 << 16, 1 << BITS)
     for batch in batches:
@@ -247,20 +259,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = zlib.decompress(data)
             own = sums.setdefault(block, np.zeros(size, dtype=np.uint64))
             own += np.frombuffer(raw, "u1" if len(raw) == size else "<u4")
-    levels = [(np.frexp(np.maximum(own, 1).astype(np.float64))[1] - 1).astype(np.int8).tobytes() for own in sums.values()]
-    totals = pa.array([int(own.sum()) for own in sums.values()], pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), totals], ["block", "levels", "total"])
+    levels = [stand_out(own).tobytes() for own in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
 
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """A level for each bin: log2 of its count where that stands out from the mean, else 0."""
+    """A level for each bin: log2 of the frequency of what stands out in it, else 0."""
     counted = docs.select("text").mapInArrow(_counted, "block int, data binary").repartition("block")
-    rows = counted.mapInArrow(_summed, "block int, levels binary, total long").collect()  # a byte a bin in all
+    rows = counted.mapInArrow(_summed, "block int, levels binary").collect()  # a byte a bin in all
     levels = np.zeros((max(1, (1 << BITS) >> 16), min(1 << 16, 1 << BITS)), dtype=np.int8)
     for r in rows:
         levels[r["block"]] = np.frombuffer(r["levels"], np.int8)
-    least = np.log2(max(HOT, 4 * sum(r["total"] for r in rows) / levels.size))
-    return np.where(levels >= least, levels, 0).astype(np.int8).ravel()
+    return levels.ravel()
 
 
 CLASSES = "doc_id long, k1 long, k2 int, cls long, other long, n long, level double, bits binary, prefixes array<binary>"

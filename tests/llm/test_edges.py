@@ -5,8 +5,11 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,16 @@ def test_filters_fall_with_each_order(spark):
     assert all_pairs == one > two > three >= 20
 
 
+def test_frequent_tokens_stand_out_of_full_bins():
+    """Bins that hold 40 rare tokens each, and 300 of them a token of frequency 60 as well, which must be late in the orders."""
+    counts = np.random.default_rng(3).poisson(40, 1 << 16)
+    counts[:300] += 60
+    data = zlib.compress(counts.astype("<u4").tobytes())
+    (out,) = ngram_jaccard._summed(iter([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])]))
+    levels = np.frombuffer(out["levels"][0].as_py(), np.int8)
+    assert levels[:300].min() >= 5 and (levels[300:] > 0).mean() < 0.01
+
+
 def test_tokens_of_hot_groups_are_salted(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "SALT_FROM", 2)
     rng = random.Random(7)
