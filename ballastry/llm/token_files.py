@@ -12,7 +12,7 @@ pad uint8, exceptions uint16, packed words uint32, exception positions uint16, h
 
 Encoding: the text is cut where white space follows other characters, which is a border
 between pre-tokens for a tokenizer without normalizer whose pre-tokenizer is the plain byte-level one; each distinct piece is encoded by the tokenizer once while it
-stays in a worker's table. The table is emptied at ``MAX_PIECES`` entries. Any other tokenizer encodes whole texts.
+stays in a worker's table, its word apart from the punctuation after it. The table is emptied at ``MAX_PIECES`` entries. Any other tokenizer encodes whole texts.
 
 Plan: one range shuffle of (doc_id, text), then one task a file. Ranges are drawn by doc_id and a hash of the text, so rows without
 doc_id, or with the same one, spread over files. The driver learns one number a
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -51,6 +52,9 @@ TRAILER = struct.Struct("<QQQQQ")
 HEAD = struct.Struct("<IBBH")
 #: White space as the vocabulary's own pattern has it, which leaves out the four separators 1C to 1F.
 PIECES = re.compile(r"[^\S\x1c-\x1f]*+[\S\x1c-\x1f]++|[^\S\x1c-\x1f]++")
+#: ASCII punctuation, and the end of the letters and digits that all versions of Unicode agree on.
+PUNCTUATION = string.punctuation
+PLAIN = "\u0250"
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -203,6 +207,31 @@ def cut_at_spaces(tokenizer) -> bool:
     return parts.get("normalizer") is None and own.get("type") == "ByteLevel" and not own.get("add_prefix_space") and own.get("use_regex", True)
 
 
+class Pieces(dict):
+    """The ids of pieces as little-endian bytes. A piece that is looked up for the first time is encoded then.
+
+    The border between a letter or digit and the punctuation after it is a border between pre-tokens as well, so such a piece
+    is put together from its word, which is often there, and its punctuation.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        self.encode = tokenizer.encode
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(PUNCTUATION)
+        if word != piece and word[-1:] < PLAIN and word[-1:].isalnum():
+            ids = self[word] + self[piece[len(word) :]]
+        else:
+            ids = as_bytes(self.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def piece_encoder(vocabulary: str):
     """texts -> (id counts, ids as little-endian bytes), with a table of pieces that lasts as long as the worker."""
     if vocabulary not in _tables:
@@ -211,26 +240,19 @@ def piece_encoder(vocabulary: str):
         tokenizer = Tokenizer.from_file(vocabulary)
         # what the texts that are encoded whole contain: an added token, or anything
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if cut_at_spaces(tokenizer) else [""]
-        _tables[vocabulary] = (tokenizer, added, {})
+        _tables[vocabulary] = (tokenizer, added, Pieces(tokenizer))
     tokenizer, added, table_ = _tables[vocabulary]
+    get, cut, end = table_.__getitem__, PIECES.findall, as_bytes([END_ID])
 
-    def as_bytes(encodings) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encodings]
+    def ids_of(text: str) -> bytes:
+        if any(a in text for a in added):  # its ids depend on the whole text
+            return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids) + end
+        return b"".join(map(get, cut(text))) + end
 
     def encode(texts: list[str]) -> tuple[list[int], bytes]:
         if len(table_) > MAX_PIECES:
             table_.clear()
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in added)}  # their ids depend on the whole text
-        split = [[] if i in whole else PIECES.findall(t) for i, t in enumerate(texts)]
-        new = list({p for s in split for p in s if p not in table_})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            table_.update(zip(part, as_bytes(tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get, end = table_.__getitem__, END_ID.to_bytes(4, "little")
-        out = [as_bytes([tokenizer.encode(t, add_special_tokens=False)])[0] + end if i in whole else b"".join(map(get, s)) + end for i, (t, s) in enumerate(zip(texts, split, strict=True))]
-        for p in new:
-            if len(p) > LONG_PIECE:
-                del table_[p]
+        out = [ids_of(t) for t in texts]
         return [len(b) // 4 for b in out], b"".join(out)
 
     return encode

@@ -85,6 +85,25 @@ def test_border_rule_fits_the_tokenizer():
     assert not token_files.cut_at_spaces(tokenizer)
 
 
+def test_punctuation_is_put_to_words_that_are_there():
+    from tokenizers import Tokenizer
+
+    tokenizer, asked = Tokenizer.from_file(_model("byte_bpe_50k.json")), []
+
+    class Listening:
+        @staticmethod
+        def encode(piece, **how):
+            asked.append(piece)
+            return tokenizer.encode(piece, **how)
+
+    pieces = token_files.Pieces(Listening)
+    words = [" house", "it's", "\nrock'n'roll", " x\u00b2", "na\u00efve", "a'", "'s", " 10", "\u5b57", "\u0259", "e\u0301", "_a", "$5", " \t", "1\u00ac"]
+    for word, end in itertools.product(words, ["", ",", ".", "'", "'.", "...", "_", "$$$", "-)"]):
+        for _ in range(2):
+            assert pieces[word + end] == np.array(tokenizer.encode(word + end, add_special_tokens=False).ids, "<u4").tobytes()
+    assert [p for p in asked if "house" in p] == [" house"]
+
+
 def test_filters_fall_with_each_order(spark):
     """Every order is a filter: with each, candidates get fewer, and links stay."""
     rng = random.Random(6)
