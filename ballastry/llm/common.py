@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,25 @@ def gathered(df: DataFrame, rows_a_task: int = 250_000) -> DataFrame:
     return df.coalesce(max(8, -(-df.count() // rows_a_task)))
 
 
+def give_back() -> None:
+    """Gives memory that has been freed back to the system, where Arrow and the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        pass
+
+
+def tidy(batches_to_batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow or mapInPandas that gives back what it took once it ends: Python workers live on between tasks and stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from batches_to_batches(batches)
+        give_back()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

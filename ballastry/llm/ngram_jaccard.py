@@ -45,6 +45,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -55,7 +57,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballastry.llm.common import checkpointed, gathered, table
+from ballastry.llm.common import checkpointed, gathered, table, tidy
 from ballastry.llm.components import components
 
 N = 5
@@ -64,7 +66,7 @@ ORDERS = 3
 BITS = 24
 HOT = 8
 CHANCE = 3
-TOKENS_AT_ONCE = 1 << 22
+TOKENS_AT_ONCE = 1 << 20
 SALT_FROM = 12
 SEEN = 500_000
 TURNS = 4
@@ -72,7 +74,7 @@ TOGETHER = 4
 CROWDED = 16
 BEFORE = 32
 BROADCAST_ROWS = 1_000_000
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -219,12 +221,18 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the texts of a task add to the bins, in compressed blocks of 65,536."""
-    bins, held, size = np.zeros(1 << BITS, dtype=np.uint32), [], 0
+    """What the texts of a task add to the bins, in compressed blocks of 65,536.
+
+    A worker holds a byte a bin; what goes beyond is kept aside as (bin, number of 256s), at most one for 256 tokens.
+    """
+    bins, over, held, size = np.zeros(1 << BITS, dtype=np.uint8), [], [], 0
 
     def add() -> None:
         found, n = np.unique(np.concatenate(held), return_counts=True)
-        bins[found] += n.astype(np.uint32)
+        n += bins[found]
+        bins[found] = n & 255
+        more = n > 255
+        over.append((found[more], n[more] >> 8))
 
     for _, sets in parts(batches):
         held += [bin_of(s).astype(np.uint32) for s in sets]
@@ -234,9 +242,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         add()
-    blocks = [(k, b) for k, b in enumerate(bins.reshape(-1, min(1 << 16, len(bins)))) if b.any()]
-    data = [zlib.compress(b.astype("<u4" if b.max() > 255 else "u1").tobytes(), 1) for _, b in blocks]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+    at, n = (np.concatenate([x[i] for x in over] or [np.empty(0, dtype=np.int64)]) for i in range(2))
+    step = min(1 << 16, len(bins))
+    block = at // step
+    names, data = [], []
+    for k, b in enumerate(bins.reshape(-1, step)):
+        own = np.flatnonzero(block == k)
+        if len(own):
+            b = b.astype("<u4")
+            np.add.at(b, at[own] % step, (n[own] << 8).astype("<u4"))
+        if b.any():
+            names.append(k)
+            data.append(zlib.compress(b.tobytes(), 1))
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
 
 def stand_out(counts: np.ndarray) -> np.ndarray:
@@ -251,22 +269,21 @@ def stand_out(counts: np.ndarray) -> np.ndarray:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The levels of whole blocks' sums."""
-    sums: dict[int, np.ndarray] = {}
+    """The levels of whole blocks' sums; the rows of a block come one after the other."""
+    rows = (row for batch in batches for row in zip(batch["block"].to_pylist(), batch["data"], strict=True))
     size = min(1 << 16, 1 << BITS)
-    for batch in batches:
-        for block, data in zip(batch["block"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            raw = zlib.decompress(data)
-            own = sums.setdefault(block, np.zeros(size, dtype=np.uint64))
-            own += np.frombuffer(raw, "u1" if len(raw) == size else "<u4")
-    levels = [stand_out(own).tobytes() for own in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
+    for block, own in groupby(rows, key=itemgetter(0)):
+        sums = np.zeros(size, dtype=np.uint64)
+        for _, data in own:
+            raw = zlib.decompress(data.as_py())
+            sums += np.frombuffer(raw, "u1" if len(raw) == size else "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([stand_out(sums).tobytes()], pa.binary())], ["block", "levels"])
 
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """A level for each bin: log2 of the frequency of what stands out in it, else 0."""
-    counted = docs.select("text").mapInArrow(_counted, "block int, data binary").repartition("block")
-    rows = counted.mapInArrow(_summed, "block int, levels binary").collect()  # a byte a bin in all
+    counted = docs.select("text").mapInArrow(tidy(_counted), "block int, data binary").repartition("block").sortWithinPartitions("block")
+    rows = counted.mapInArrow(tidy(_summed), "block int, levels binary").collect()  # a byte a bin in all
     levels = np.zeros((max(1, (1 << BITS) >> 16), min(1 << 16, 1 << BITS)), dtype=np.int8)
     for r in rows:
         levels[r["block"]] = np.frombuffer(r["levels"], np.int8)
@@ -329,7 +346,7 @@ def _prefix_rows(levels: Broadcast, seed: int):
 
 def _shared_rows(docs: DataFrame, levels: Broadcast, seed: int) -> DataFrame:
     """The rows (token, cls, pos) of prefix tokens that several classes may have, in one shuffle."""
-    rows = docs.select("text").mapInArrow(_prefix_rows(levels, seed), "token long, salt int, cls long, pos int")
+    rows = docs.select("text").mapInArrow(tidy(_prefix_rows(levels, seed)), "token long, salt int, cls long, pos int")
     group = Window.partitionBy("token", "salt")
     rows = rows.withColumn("lo", F.min("cls").over(group)).withColumn("hi", F.max("cls").over(group)).where("salt > 0 or lo < hi")
     return rows.select("token", "salt", "cls", "pos").distinct().select("token", "cls", "pos")
@@ -379,7 +396,7 @@ def candidates(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs that pass all filters; signed has their signatures."""
     columns = {"n": "n{}", "bits": "bits_{}", "prefixes": "prefixes_{}"}
     one, two = (signed.select(F.col("cls").alias(side), *[F.col(c).alias(to.format(side)) for c, to in columns.items()]) for side in "ab")
-    return pairs.join(one, "a").join(two, "b").mapInPandas(_filtered, "a long, a1 long, a2 int, b long, b1 long, b2 int")
+    return pairs.join(one, "a").join(two, "b").mapInPandas(tidy(_filtered), "a long, a1 long, a2 int, b long, b1 long, b2 int")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -389,7 +406,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = with_keys(docs).join(_standing_for(pairs), ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"])
     one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verified), "a long, b long")
 
 
 SIDE = ["cls", "comp", "n", "pos", "k1", "k2"]
@@ -459,7 +476,7 @@ def _with_all(rows: DataFrame) -> DataFrame:
 def _named(docs: DataFrame, levels: Broadcast, orders: int) -> tuple[DataFrame, DataFrame, int]:
     """All rows with their classes, a row for each class, and the seed under which no two sets share a name."""
     for seed in range(8):
-        classes = checkpointed(with_keys(docs).mapInArrow(_classes(levels, orders, seed), CLASSES))
+        classes = checkpointed(with_keys(docs).mapInArrow(tidy(_classes(levels, orders, seed)), CLASSES))
         reps = classes.where("cls is not null").groupBy("cls").agg(
             F.min("doc_id").alias("least"),
             F.min(F.struct("k1", "k2")).alias("rep"),

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ballastry.llm.common import table
+from ballastry.llm.common import table, tidy
 
 SEED = 17
 DROPOUT = 0.1
@@ -422,7 +422,7 @@ _kept: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, dropout: float, seed: int) -> Encoder:
-    """The encoder of this worker."""
+    """The encoder of this worker's task."""
     if (path, dropout, seed) not in _kept:
         _kept.clear()
         _kept[path, dropout, seed] = Encoder(PieceModel(path), dropout, seed)
@@ -435,6 +435,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, dropout: float
         for k in range(0, batch.num_rows, rows):
             part = batch.slice(k, rows)
             yield part, encoder(path, dropout, seed)(part["doc_id"].to_pylist(), part["text"].to_pylist())
+    _kept.clear()  # the worker lives on, in stages that have no use for it
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
@@ -448,7 +449,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, see
             yield pa.RecordBatch.from_arrays([*[part[c] for c in names], ids], [*names, "ids"])
 
     fields = [docs.schema[c] for c in names]
-    return docs.select(*names).mapInArrow(encode, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.select(*names).mapInArrow(tidy(encode), T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -482,4 +483,4 @@ def op3_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part["doc_id"], counts, sums, same], ["doc_id", "n_tokens", "ids_crc32", "lossless"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
+    return docs.mapInArrow(tidy(digest), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")

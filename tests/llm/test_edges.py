@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -131,6 +132,45 @@ def test_filters_fall_with_each_order(spark):
     assert all_pairs == one > two > three >= 20
 
 
+def test_workers_count_tokens_in_little_memory(monkeypatch):
+    """A byte a bin while a task counts, one block at a time while blocks are summed; what goes beyond a byte is not lost."""
+    monkeypatch.setattr(ngram_jaccard, "TOKENS_AT_ONCE", 1000)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " all of them say these words" for _ in range(700)]
+    texts += [f"few {k} of these words" for k in range(300)] + ["", None]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts * 2, pa.string())})]
+    bins = np.concatenate([ngram_jaccard.bin_of(s) for s in ngram_jaccard.shingle_sets(texts * 2)])
+    expected = np.bincount(bins, minlength=1 << ngram_jaccard.BITS)
+    assert 1400 <= expected.max() and np.count_nonzero(expected > 255)
+    tracemalloc.start()
+    try:
+        (counted,) = ngram_jaccard._counted(iter(batches))
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20  # four bytes a bin are 64 MB
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        summed = list(ngram_jaccard._summed(iter([counted.slice(0, 100), counted.slice(100)])))
+        assert tracemalloc.get_traced_memory()[1] - held < 48 << 20  # eight bytes a bin are 128 MB
+    finally:
+        tracemalloc.stop()
+    found = np.zeros((256, 1 << 16), dtype=np.int64)
+    for block, data in zip(counted["block"].to_pylist(), counted["data"].to_pylist(), strict=True):
+        raw = zlib.decompress(data)
+        found[block] = np.frombuffer(raw, "u1" if len(raw) == 1 << 16 else "<u4")
+    assert (found.ravel() == expected).all()
+    levels = {b: x for part in summed for b, x in zip(part["block"].to_pylist(), part["levels"].to_pylist(), strict=True)}
+    assert all((np.frombuffer(levels[b], np.int8) == ngram_jaccard.stand_out(found[b])).all() for b in range(256))
+
+
+def test_workers_keep_no_encoder():
+    """Python workers live on in other stages: the table of pieces goes with the task."""
+    import public_tokenizers
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the house by the river", None]})
+    parts = list(piece_dropout.encoded_batches(iter([batch]), public_tokenizers.path("piece_bpe_32k.model"), 0.0, 0))
+    assert [len(ids) > 0 for _, found in parts for ids in found] == [True, False]
+    assert not piece_dropout._kept
+
+
 def test_frequent_tokens_stand_out_of_full_bins():
     """Bins that hold 40 rare tokens each, and 300 of them a token of frequency 60 as well, which must be late in the orders."""
     counts = np.random.default_rng(3).poisson(40, 1 << 16)
